@@ -1,8 +1,12 @@
-"""WARC records in ZIP packages: stored archive members and an index, read by ranges without extraction."""
+"""WARC records in ZIP packages: stored archive members and an index, read by ranges without extraction.
+
+As is usual for WARC, each record is a gzip member of its own, so a record is one range of the stored archive member.
+"""
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import struct
@@ -26,7 +30,7 @@ def digest(payload: bytes) -> str:
 
 
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: a response with the payload, or a revisit with its HTTP head only."""
+    """One WARC/1.1 record, as a gzip member: a response with the payload, or a revisit with its HTTP head only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
@@ -36,7 +40,7 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
     ]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <{PAGE}{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", compresslevel=4, mtime=0)
 
 
 def package(records: list[bytes]) -> bytes:
@@ -47,7 +51,7 @@ def package(records: list[bytes]) -> bytes:
         at += len(r)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-        for name, body in (("archive/data.warc", b"".join(records)), ("indexes/index.txt", "\n".join(index).encode())):
+        for name, body in (("archive/data.warc.gz", b"".join(records)), ("indexes/index.txt", "\n".join(index).encode())):
             z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), body)
     return out.getvalue()
 
@@ -124,9 +128,9 @@ class ZipPackage:
             j, start = i, index[i][0]
             while j < len(index) and (j == i or index[j][0] + index[j][1] - start <= READ_BYTES):
                 j += 1
-            raw = self.read("archive/data.warc", start, index[j - 1][0] + index[j - 1][1] - start)
+            raw = self.read("archive/data.warc.gz", start, index[j - 1][0] + index[j - 1][1] - start)
             for at, size in index[i:j]:
-                yield parse(raw[at - start : at - start + size])
+                yield parse(gzip.decompress(raw[at - start : at - start + size]))
             i = j
 
     def close(self):
@@ -203,7 +207,9 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     ship(packages.sparkSession)
-    return packages.select("path").repartition("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # a number of partitions of its own: the rows are few and small, and would be put together into one
+    tasks = max(1, min(-(-packages.count() // 2), 4096))
+    return packages.select("path").repartition(tasks).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
