@@ -6,6 +6,10 @@ import gc
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: White space other than the space; \\s of this module knows a few more than Unicode's property, which does no harm here.
 _ODD = re.compile(r"[^\S ]")
 
@@ -16,50 +20,87 @@ def divisible(text: str) -> bool:
 
 
 class ChunkEncoder:
-    """Encodes texts by way of `resolve`, which gets distinct chunks and returns the packed ids of each.
+    """Encodes texts by way of `resolve`, which gets distinct chunks and returns the packed ids of each, of type `kind`.
 
     The pre-tokenizer takes one space into the token that follows it and never ends a token with a space that a character
     other than white space follows. So a text falls into its first word and then chunks of a space and a word, each encoded
-    for itself as in the whole. Texts of which this isn't sure are one chunk. Chunks seen are kept up to `most`; then the
-    long ones, which come back least, are dropped.
+    for itself as in the whole. Texts of which this isn't sure are one chunk. The words of a batch are numbered, each
+    distinct one is looked up once, and the ids are gathered by number. Chunks seen are kept up to `most`; then the long
+    ones, which come back least, are dropped.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], most: int = 600_000, short: int = 6):
-        self.resolve, self.most, self.short, self.cache = resolve, most, short, {}
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], kind: str = "<u4", most: int = 1_000_000, short: int = 9):
+        self.resolve, self.kind, self.most, self.short, self.cache = resolve, np.dtype(kind), most, short, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
         collecting = gc.isenabled()
         gc.disable()  # many small objects and no cycles: its passes over the kept chunks would cost more than the rest
         try:
-            return self._encode(texts)
+            whole = [i for i, t in enumerate(texts) if "  " in t]
+            taken = set(whole)
+            rest = [i for i in range(len(texts)) if i not in taken]
+            words = self._split([texts[i] for i in rest])
+            found = list(map(self.cache.get, words[0]))
+            if any(x[-1:].isspace() for x, v in zip(words[0], found) if v is None):
+                # the space after such a word may begin no pre-token: the texts are looked at one by one
+                whole += [i for i in rest if not divisible(texts[i])]
+                taken = set(whole)
+                rest = [i for i in rest if i not in taken]
+                words = self._split([texts[i] for i in rest])
+                found = list(map(self.cache.get, words[0]))
+            out = dict(zip(whole, self.resolve([texts[i] for i in whole]), strict=True))
+            out |= dict(zip(rest, self._gathered(*words, found), strict=True))
+            return [out[i] for i in range(len(texts))]
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.split(" ") if divisible(t) else [t] for t in texts]
-        first, new = {p[0] for p in pieces}, set()
-        for p in pieces:
-            rest = iter(p)
-            next(rest)
-            new.update(rest)
+    @staticmethod
+    def _split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct words, the number of each word of all texts, where each text's begin)."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
+
+    def _gathered(self, words: list[str], at: np.ndarray, offsets: np.ndarray, found: list[bytes | None]) -> list[bytes]:
+        n = len(offsets) - 1
+        if not n:
+            return []
+        first = at[offsets[:-1]]
+        heads, which = np.unique(first, return_inverse=True)
+        at = at.copy()
+        at[offsets[:-1]] = len(words) + which
+        packed = self._filled(words, found) + self.resolve([words[i] for i in heads.tolist()])
+        size = self.kind.itemsize
+        lens = np.fromiter(map(len, packed), np.int64, len(packed)) // size
+        ids = np.frombuffer(b"".join(packed), self.kind)
+        each = lens[at]
+        ends = np.cumsum(each)
+        total = int(ends[-1])
+        place = np.repeat((np.cumsum(lens) - lens)[at] - (ends - each), each)
+        place += np.arange(total)
+        raw = memoryview(ids[place].tobytes())
+        cuts = (np.concatenate(([0], ends))[offsets - offsets[0]] * size).tolist()
+        return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def _filled(self, words: list[str], found: list[bytes | None]) -> list[bytes]:
+        """found with what the cache lacks; it is resolved and kept."""
+        new = [x for x, v in zip(words, found) if v is None]
+        if not new:
+            return found
         if len(self.cache) + len(new) > self.most:
             self.cache = {k: v for k, v in self.cache.items() if len(k) <= self.short}
-        cache = self.cache
-        new.difference_update(cache)
         # a letter and one of these marks at the end are never one token: the word before it is a chunk too
         marked = [x for x in new if x[-1:] in (",", ".") and x[-2:-1].isalpha()]
-        new.difference_update(marked)
-        new.update(y for x in marked if (y := x[:-1]) not in cache)
-        new = list(new)
-        cache.update(zip(new, self.resolve([" " + x for x in new]), strict=True))
+        fresh = dict.fromkeys(set(new).difference(marked))
+        fresh |= dict.fromkeys(y for x in marked if (y := x[:-1]) not in self.cache)
+        fresh = dict(zip(fresh, self.resolve([" " + x for x in fresh]), strict=True))
         if marked:
             mark = dict(zip(",.", self.resolve([",", "."]), strict=True))
-            cache.update([(x, cache[x[:-1]] + mark[x[-1]]) for x in marked])
-        first = list(first)
-        heads = dict(zip(first, self.resolve(first), strict=True))
-        out = []
-        for p in pieces:
-            head = heads[p[0]]
-            out.append(head + b"".join(map(cache.__getitem__, p[1:])) if len(p) > 1 else head)
-        return out
+            fresh.update([(x, (fresh.get(x[:-1]) or self.cache[x[:-1]]) + mark[x[-1]]) for x in marked])
+        self.cache.update(fresh)
+        for x in new:
+            if x[-1:].isspace():  # to be seen again by the next batch that has it
+                del self.cache[x]
+        return [fresh[x] if v is None else v for x, v in zip(words, found)]

@@ -175,8 +175,7 @@ def tokenizer(path: str) -> ChunkEncoder:
         def resolve(chunks: list[str]) -> list[bytes]:
             return [array(code, x.ids).tobytes() for x in t.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        _TOKENIZERS[path] = ChunkEncoder(resolve)
-        _TOKENIZERS[path].kind = kind
+        _TOKENIZERS[path] = ChunkEncoder(resolve, kind)
     return _TOKENIZERS[path]
 
 
@@ -197,13 +196,13 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
         def flush():
             nonlocal shard, first, held, ids, size
             path = f"{at}/{part:06d}-{shard:06d}.wvlt"
-            write_file(path, build_shard(np.frombuffer(b"".join(held), encoder.kind), ids, np.array([len(x) for x in held], np.int64) // np.dtype(encoder.kind).itemsize))
+            write_file(path, build_shard(np.frombuffer(b"".join(held), encoder.kind), ids, np.array([len(x) for x in held], np.int64) // encoder.kind.itemsize))
             row = pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, shard, path, first, size)], ["part", "shard", "path", "first", "tokens"])
             shard, first, held, ids, size = shard + 1, first + size, [], [], 0
             return row
 
         end = np.array([end_id], encoder.kind).tobytes()
-        for b in slices(batches, "text", 6 << 20):
+        for b in slices(batches, "text", 16 << 20):
             for i, x in zip(column(b, "doc_id").to_pylist(), encoder.encode(str_texts(column(b, "text"))), strict=True):
                 held.append(x + end)
                 ids.append(i)
@@ -234,7 +233,9 @@ def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends - counts + first + offsets[part]), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "path", "first").repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number of partitions of its own: the rows are few and small, and would be put together into one
+    tasks = max(1, min(-(-shards.count() // 4), 4096))
+    return shards.select("part", "path", "first").repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
