@@ -20,6 +20,7 @@ from .common import column, filesystem, materialise, pick, scratch, ship, slices
 MAGIC = b"WVLT0001"
 BLOCK = 1 << 18  # bits of a compressed block
 SHARD_TOKENS = 1_000_000  # a shard closes with the document that reaches them
+TOGETHER = 64  # chunks encoded as one text
 _TOKENIZERS: dict[str, ChunkEncoder] = {}
 
 
@@ -45,7 +46,9 @@ def build_shard(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray)
     ids64 = np.array([0 if i is None else i for i in doc_ids], np.int64)
     directory = {"ids": put(ids64.tobytes()), "null": put(np.array([i is None for i in doc_ids], np.uint8).tobytes()), "counts": put(counts.astype(np.int64).tobytes())}
     for k in range(bits - 1, -1, -1):
-        one = (now >> now.dtype.type(k)) & now.dtype.type(1) != 0
+        if k == 7:
+            now = now.astype(np.uint8)  # the planes left are those of the last byte
+        one = now & now.dtype.type(1 << k) != 0
         packed, blocks, ones = np.packbits(one, bitorder="little"), [], 0
         for i in range(0, len(now), BLOCK):
             blocks.append([*put(packed[i // 8 : (i + BLOCK) // 8].tobytes()), ones])
@@ -147,8 +150,10 @@ class WaveletFile:
     def all(self) -> np.ndarray:
         """All ids in order: the planes undone from the last to the first."""
         n = self.tokens
-        now = np.zeros(n, np.uint16 if self.bits <= 16 else np.uint32)
+        now = np.zeros(n, np.uint8)
         for k in range(self.bits - 1, -1, -1):
+            if k == self.bits - 9:
+                now = now.astype(np.uint16 if self.bits <= 16 else np.uint32)
             plane = self.head["planes"][k]
             blocks = [np.frombuffer(self._get(at, size), np.uint8) for at, size, _ in plane["blocks"]]
             one = np.unpackbits(np.concatenate(blocks), count=n, bitorder="little").view(bool) if n else np.zeros(0, bool)
@@ -172,8 +177,25 @@ def tokenizer(path: str) -> ChunkEncoder:
         t.encode_special_tokens = True
         kind, code = ("<u2", "H") if t.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
+        spaced = np.zeros(t.get_vocab_size(), bool)
+        spaced[[i for x, i in t.get_vocab().items() if x.startswith("\u0120")]] = True  # how byte-level BPE writes a space
+
         def resolve(chunks: list[str]) -> list[bytes]:
-            return [array(code, x.ids).tobytes() for x in t.encode_batch_fast(chunks, add_special_tokens=False)]
+            # chunks of a space and a word are encoded many at a time: each begins with the only token that begins with a space
+            plain = [x[:1] == " " and x.rfind(" ") == 0 and not x[-1:].isspace() for x in chunks]
+            words = [x for x, ok in zip(chunks, plain) if ok]
+            lines = ["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+            ids = array(code)
+            for x in t.encode_batch_fast(lines, add_special_tokens=False):
+                ids.extend(x.ids)
+            flat = np.frombuffer(ids, kind)
+            cuts = [*(np.flatnonzero(spaced[flat]) * flat.itemsize).tolist(), flat.nbytes]
+            if len(cuts) != len(words) + 1:
+                raise ValueError(f"{path}: a tokenizer that doesn't begin a token with each space before a word")
+            raw = flat.tobytes()
+            several = map(raw.__getitem__, map(slice, cuts, cuts[1:]))
+            rest = iter(t.encode_batch_fast([x for x, ok in zip(chunks, plain) if not ok], add_special_tokens=False))
+            return [next(several) if ok else array(code, next(rest).ids).tobytes() for ok in plain]
 
         _TOKENIZERS[path] = ChunkEncoder(resolve, kind)
     return _TOKENIZERS[path]
