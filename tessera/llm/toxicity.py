@@ -17,7 +17,8 @@ from .common import column, materialise, pick, ship, slices, str_texts, table
 SAMPLE_ROWS = 20_000  # labelled rows that the models are fitted on, at most: those with the least hashes
 MINED = 400  # words and stems that become voters, at most
 LEAST_RATIO = 20.0  # how much more often than in clean texts a mined word stands in toxic ones
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
+CHANCE = 1e-5  # of a word's standing in as many toxic texts if it had nothing to do with them, from which it isn't mined
 STRONG = 0.97  # share of toxic texts among those with a word, from which its voter counts as strong
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -49,6 +50,13 @@ def word_features(words: set[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
+def by_chance(bad: int, good: int, rate: float) -> float:
+    """The chance that of bad + good texts so many are toxic, if each is at `rate`: a binomial tail."""
+    n, p = bad + good, min(max(rate, 1e-9), 1 - 1e-9)
+    term = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(bad, min(n, bad + 200) + 1)]
+    return min(1.0, sum(map(math.exp, term)))
+
+
 class Voters:
     """Votes 'toxic' or abstains: lexicon words, mined words and stems, patterns, and how many strong ones agree."""
 
@@ -61,7 +69,7 @@ class Voters:
             self.of.setdefault(w, []).append(i)
         for i, (w, _) in enumerate(mined):
             self.of.setdefault(w, []).append(at + i)
-        self.strong = {w for w, s in mined if s}
+        self.strong = {w for w, s in mined if s} | set(LEXICON)
         self.stems = {w[:-1] for w, _ in mined if w[-1] == "*"}
 
     def votes(self, text: str) -> list[int]:
@@ -151,11 +159,11 @@ def mine(sample: DataFrame, most: int = MINED) -> tuple[list[tuple[str, bool]],
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "bad", "good"])
 
     n_bad, n_good = sample.agg(F.count_if(F.expr("toxic > 0")), F.count_if(F.expr("toxic <= 0"))).first()
-    least = max(3, math.ceil(0.004 * n_bad))
     counts = sample.select("text", "toxic").mapInArrow(run, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = (F.col("bad") / max(n_bad, 1)) / ((F.col("good") + 0.5) / max(n_good, 1))
-    top = counts.where((F.col("bad") >= least) & (ratio >= LEAST_RATIO)).orderBy(F.desc("bad"), "word").limit(most).collect()
-    return [(r["word"], r["bad"] >= STRONG * (r["bad"] + r["good"])) for r in top], (n_bad + 0.5) / (n_bad + n_good + 1)
+    top = counts.where((F.col("bad") >= 3) & (ratio >= LEAST_RATIO)).orderBy(F.desc("bad"), "word").limit(most).collect()
+    rate = (n_bad + 0.5) / (n_bad + n_good + 1)
+    return [(r["word"], r["bad"] >= STRONG * (r["bad"] + r["good"])) for r in top if by_chance(r["bad"], r["good"], rate) < CHANCE], rate
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> tuple[Voters, np.ndarray]:
