@@ -116,10 +116,12 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic regression on soft labels, the last being the constant, by Newton steps."""
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30, free: int = 0) -> np.ndarray:
+    """Weights of a logistic regression on soft labels, the last being the constant, by Newton steps. The last `free`
+    columns, which sum up others, are held back far less."""
     x = np.hstack((x, np.ones((len(x), 1))))
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    keep[x.shape[1] - 1 - free :] = ridge / 25
     keep[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -189,7 +191,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAM
     # the label of a training row is one more voter, of which the model finds out how far it can be believed
     votes = np.hstack((x, gold[:, None]))
     guess = np.where(gold > 0, 0.95, np.where(x[:, -3] > 0, 0.3, 0.02))
-    return voters, fit_linear(x, LabelModel().fit(votes, guess).posterior(votes))
+    return voters, fit_linear(x, LabelModel().fit(votes, guess).posterior(votes), free=3)
 
 
 def score(docs: DataFrame, voters: Voters, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
