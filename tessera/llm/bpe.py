@@ -15,6 +15,7 @@ from .chunks import ChunkEncoder
 from .common import column, pick, ship, slices, str_texts, table
 from .mph import PerfectHash
 
+CHUNKS_KEPT = 400_000
 _CODECS: dict[tuple, ByteBpe] = {}
 
 
@@ -40,7 +41,7 @@ class ByteBpe:
         self.byte = [self.rank[bytes([i])] for i in range(256)]
         rank = self.rank
         self.pair = {rank[t[:i]] << 20 | rank[t[i:]]: r for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank}
-        self.encoder = ChunkEncoder(self.chunks)
+        self.encoder = ChunkEncoder(self.chunks, most=CHUNKS_KEPT)
 
     @staticmethod
     def _hash(tokens: list[bytes]) -> np.ndarray:
@@ -136,7 +137,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True) ->
 
     def run(batches):
         bpe = codec(ranks.value, pattern)
-        for b in slices(batches, "text", 12 << 20):
+        for b in slices(batches, "text", 8 << 20):
             packed = bpe.encode(str_texts(column(b, "text")))
             cols = [column(b, "doc_id").cast(pa.int64()), pa.array([len(x) // 4 for x in packed], pa.int64())]
             names = ["doc_id", "n_tokens"]

@@ -144,8 +144,8 @@ def judge(m: dict[str, np.ndarray], max_covered: float = MAX_COVERED, max_longes
 
 
 def judged(batches):
-    """Batches of about 8 MB of text with the verdicts on them."""
-    for b in slices(batches, "text", 8 << 20):
+    """Batches of about 4 MB of text with the verdicts on them."""
+    for b in slices(batches, "text", 4 << 20):
         yield b, judge(measure(raw_texts(column(b, "text"))))
 
 
