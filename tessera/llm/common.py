@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 16 << 20
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -49,8 +50,14 @@ def materialise(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once a session; a cluster needs no other installation of it."""
+    """Sends this package to the Python workers, once a session; a cluster needs no other installation of it.
+
+    Also lowers Spark's default bound on the bytes of an Arrow batch, unless the session has set one of its own: a batch
+    is held by Spark and by the worker, and the operators gather no more than this of it at a time."""
     sc = spark.sparkContext
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound).lower() in ("67108864b", "67108864"):
+        spark.conf.set(bound, str(BATCH_BYTES))
     top = Path(__file__).resolve().parents[1]
     if getattr(sc, "_tessera_shipped", False) or not top.is_dir():
         return
