@@ -91,7 +91,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, r
 
     Rows of one doc_id count as copies, of which one stays. Rows without a doc_id stay.
     """
-    gone = near_duplicates(spark, docs, width, radius).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return without(docs, near_duplicates(spark, docs, width, radius).where("component_id < doc_id").select(F.col("doc_id").alias("id")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents without those of gone(id), and one row of each doc_id. Rows without a doc_id stay."""
+    gone = gone.select(F.col("id").alias("_gone")).distinct()
     names = docs.columns
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     mark = "_row" + "_" * max(map(len, names))
