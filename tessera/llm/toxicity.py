@@ -37,11 +37,6 @@ PATTERNS = (
 )
 
 
-def family(words: set[str]) -> int:
-    """The least hash of a text's words; near copies mostly share it, so that they count once."""
-    return min((zlib.crc32(w.encode()) for w in words), default=0)
-
-
 def in_training(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 != 1
 
@@ -133,20 +128,13 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 3
 
 
 def training_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, family, toxic) of at most `most` labelled documents of the training folds, one for each family and label."""
+    """(text, toxic) of at most `most` labelled documents of the training folds; equal texts of one label count once."""
     ids = pick(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     # at most `most` pairs of two integers, so the broadcast has a bound
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-    def run(batches):
-        for b in slices(batches, "text", 8 << 20):
-            fams = [family(set(WORD.findall(t.lower()))) for t in str_texts(column(b, "text"))]
-            yield pa.RecordBatch.from_arrays([column(b, "text"), column(b, "toxic"), pa.array(fams, pa.int64())], ["text", "toxic", "family"])
-
     found = pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    found = found.mapInArrow(run, "text string, toxic int, family long")
-    return materialise(spark, found.groupBy("family", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    return materialise(spark, found.distinct(), "toxicity-sample")
 
 
 def mine(sample: DataFrame, most: int = MINED) -> tuple[list[tuple[str, bool]], float]:

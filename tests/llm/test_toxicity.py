@@ -54,3 +54,12 @@ def test_scores_come_from_the_text_alone(spark, docs_of):
     moved = docs_of([(i + 1000, t) for i, t in rows]).withColumn("lang", F.lit("xx"))
     again = {r["doc_id"]: r["score"] for r in toxicity.score(moved, voters, weights).collect()}
     assert all(again[i + 1000] == got[i]["score"] for i, _ in rows)
+
+
+def test_texts_that_share_a_word_all_stay_in_the_sample(spark, docs_of):
+    common = min((f"w{x}" for x in "abcdefghijklmnop"), key=lambda w: zlib.crc32(w.encode()))
+    rows = [(i, f"{common} note {'abcdefghij'[i // 10 % 10]}{'klmnopqrst'[i % 10]}") for i in range(90)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(rows)]  # real copies
+    labels = spark.createDataFrame([(i, 1, int(i % 100 % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = [(r["text"], r["toxic"]) for r in toxicity.training_sample(spark, docs_of(rows), labels, 1000).select("text", "toxic").collect()]
+    assert sorted(got) == sorted({(t, int(i % 100 % 3 == 0)) for i, t in rows if toxicity.in_training(i)})
