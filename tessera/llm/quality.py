@@ -22,86 +22,109 @@ class Suffixes:
     """Suffix array and longest common prefixes of many word sequences at once, by prefix doubling.
 
     codes: a number for each word; doc: for each word the sequence it is in, ascending. Suffixes end with their sequence,
-    and only suffixes of one sequence share a prefix. A round sorts only the suffixes that are not yet told apart.
+    and only suffixes of one sequence share a prefix. A round sorts only the suffixes that are not yet told apart, and
+    only the ranks of the last round are held. repeated[w] tells for each of the `windows` asked for whether the w words
+    from a place stand elsewhere in its sequence too. Positions and ranks take 32 bits, so a call takes under 2**31 words.
     """
 
-    def __init__(self, codes: np.ndarray, doc: np.ndarray):
+    def __init__(self, codes: np.ndarray, doc: np.ndarray, windows: tuple[int, ...] = ()):
         n = len(codes)
-        self.n, self.doc = n, doc
-        ends = np.searchsorted(doc, doc, side="right") if n else np.zeros(0, np.int64)
+        self.n, self.codes = n, codes.astype(np.int32, copy=False)
+        self.ends = np.searchsorted(doc, doc, side="right").astype(np.int32) if n else np.zeros(0, np.int32)
+        self.repeated = {w: np.zeros(n, bool) for w in windows}
         key = doc.astype(np.int64) * (int(codes.max(initial=0)) + 1) + codes
-        order = np.argsort(key, kind="stable")
-        rank = self._ranks(key[order], order, np.zeros(n, np.int64), np.zeros(n, np.int64))
-        self.levels, step = [rank], 1
-        active = self._tied(rank, order)
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        self.rank, step = np.empty(n, np.int32), 1
+        if n:
+            self.rank[order] = self._starts(key[order], np.int32(0), np.int32(0))
+        del key
+        active = self._tied(order)
+        self._note(active, step)
         while len(active):
-            old, nxt = self.levels[-1], active + step
-            inside = nxt < ends[active]
-            second = np.where(inside, old[np.minimum(nxt, n - 1)].astype(np.int64) + 1, 0)
-            key = old[active].astype(np.int64) * (n + 1) + second
+            key = self._pairs(active, step)
             by = np.argsort(key, kind="stable")
             order, key = active[by], key[by]
-            rank = old.copy()
-            base = old[order].astype(np.int64)
+            del by
+            base = self.rank[order]
             group = np.concatenate(([True], base[1:] != base[:-1]))
-            start = np.maximum.accumulate(np.where(group, np.arange(len(order)), 0))
-            rank[order] = self._starts(key, base, start)
-            self.levels.append(rank)
+            start = np.maximum.accumulate(np.where(group, np.arange(len(order), dtype=np.int32), 0))
+            new = self._starts(key, base, start)
+            del key, base, group, start
+            self.rank[order] = new
             step *= 2
-            active = self._tied(rank, order)
-        self.sa = np.empty(n, np.int64)
-        self.sa[self.levels[-1]] = np.arange(n)
-        self.lcp = self._lcp(ends)
+            active = self._tied(order)
+            self._note(active, step)
+        self.sa = np.empty(n, np.int32)
+        self.sa[self.rank] = np.arange(n, dtype=np.int32)
+
+    def _pairs(self, at: np.ndarray, step: int) -> np.ndarray:
+        """For each place its rank and that of the place `step` words on, as one number."""
+        nxt = at + np.int32(step)
+        second = np.where(nxt < self.ends[at], self.rank[np.minimum(nxt, self.n - 1)] + 1, 0)
+        return self.rank[at].astype(np.int64) * (self.n + 1) + second
 
     @staticmethod
-    def _starts(key: np.ndarray, base: np.ndarray, start: np.ndarray) -> np.ndarray:
+    def _starts(key: np.ndarray, base, start) -> np.ndarray:
         """The rank of each: that of its group's first, plus where in the group its own equal ones begin."""
-        at = np.arange(len(key))
+        at = np.arange(len(key), dtype=np.int32)
         new = np.concatenate(([True], key[1:] != key[:-1]))
-        return (base + np.maximum.accumulate(np.where(new, at, 0)) - start).astype(np.int32)
-
-    def _ranks(self, key, order, base, start) -> np.ndarray:
-        rank = np.empty(len(key), np.int32)
-        if len(key):
-            rank[order] = self._starts(key, base, start)
-        return rank
+        return base + np.maximum.accumulate(np.where(new, at, 0)) - start
 
-    @staticmethod
-    def _tied(rank: np.ndarray, order: np.ndarray) -> np.ndarray:
+    def _tied(self, order: np.ndarray) -> np.ndarray:
         """Of the positions in `order` (ascending rank), those whose rank is another's too."""
         if not len(order):
             return order
-        r = rank[order]
+        r = self.rank[order]
         same = r[1:] == r[:-1]
         return order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
 
-    def _lcp(self, ends: np.ndarray) -> np.ndarray:
-        """For each place in the suffix array but the first, the words it shares with the place before."""
-        lcp = np.zeros(self.n, np.int32)
-        if self.n < 2:
-            return lcp
-        a, b = self.sa[:-1], self.sa[1:]
-        left = np.flatnonzero(self.levels[0][a] == self.levels[0][b])
-        got, a, b = np.zeros(len(left), np.int64), a[left], b[left]
-        for k in range(len(self.levels) - 1, -1, -1):
-            rank, x, y = self.levels[k], a + got, b + got
-            ok = (x < ends[a]) & (y < ends[b])
-            x, y = np.minimum(x, self.n - 1), np.minimum(y, self.n - 1)
-            got += np.where(ok & (rank[x] == rank[y]), 1 << k, 0)
-        lcp[left + 1] = got
-        return lcp
-
-    def deepest(self) -> np.ndarray:
+    def _note(self, tied: np.ndarray, step: int) -> None:
+        """Notes the repeated windows of step to under 2 * step words: places tied for their first and their last `step` words."""
+        for w, out in self.repeated.items():
+            if step <= w < 2 * step and len(tied):
+                at = tied[tied + np.int64(w) <= self.ends[tied]]
+                key = self._pairs(at, w - step)
+                order = np.argsort(key, kind="stable")
+                same = key[order][1:] == key[order][:-1]
+                out[at[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]]] = True
+
+    def lcp(self, where: np.ndarray | None = None) -> np.ndarray:
+        """For each place in the suffix array the words it shares with the place before; 0 where `where` (places in the
+        words) is not set. Taken in the order of the words, where a prefix is at most one shorter than that of the word before,
+        so all comparisons together are about as many as the words."""
+        out, run = np.zeros(self.n, np.int32), 0
+        codes, ends, rank, sa = (memoryview(np.ascontiguousarray(x)) for x in (self.codes, self.ends, self.rank, self.sa))
+        last = -2
+        for i in range(self.n) if where is None else map(int, np.flatnonzero(where).astype(np.int32)):
+            run = max(run - 1, 0) if i == last + 1 else 0
+            last, r = i, rank[i]
+            if not r or ends[sa[r - 1]] != ends[i]:
+                run = 0
+                continue
+            j = sa[r - 1]
+            most = ends[i] - max(i, j)
+            while run < most and codes[i + run] == codes[j + run]:
+                run += 1
+                if run % 64 == 0 and run + 4096 <= most:  # long equal stretches by whole arrays
+                    while run + 4096 <= most and np.array_equal(self.codes[i + run : i + run + 4096], self.codes[j + run : j + run + 4096]):
+                        run += 4096
+            out[r] = run
+        return out
+
+    def deepest(self, where: np.ndarray | None = None) -> np.ndarray:
         """For each position the depth of the deepest common-prefix interval around its suffix: the longest repeat from there."""
-        out = np.zeros(self.n, np.int64)
-        out[self.sa] = np.maximum(self.lcp, np.append(self.lcp[1:], 0)) if self.n else 0
+        lcp, out = self.lcp(where), np.zeros(self.n, np.int32)
+        if self.n:
+            out[self.sa] = np.maximum(lcp, np.append(lcp[1:], 0))
         return out
 
 
-def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """Which of n places the spans cover."""
-    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)
-    return np.cumsum(edge)[:n] > 0
+def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n places the spans of one length cover."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.subtract.at(edge, starts + length, 1)
+    return np.cumsum(edge, dtype=np.int32)[:n] > 0
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,22 +133,25 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat, offsets = parts.flatten(), parts.offsets.to_numpy()
     real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     counts = np.diff(np.concatenate(([0], np.cumsum(real)))[offsets - offsets[0]])
-    return flat.filter(pa.array(real)).dictionary_encode().indices.to_numpy().astype(np.int64), counts
+    return flat.filter(pa.array(real)).dictionary_encode().indices.to_numpy(), counts
 
 
 def measure(texts: list[bytes], window: int = WINDOW, least: int = MIN_REPEAT) -> dict[str, np.ndarray]:
     """What the rules look at, for each text."""
     codes, counts = words_of(texts)
+    window, least = np.int32(window), np.int32(least)
     n, docs = len(codes), len(texts)
-    doc = np.repeat(np.arange(docs), counts)
-    deep = Suffixes(codes, doc).deepest()
+    doc = np.repeat(np.arange(docs, dtype=np.int32), counts)
+    suffixes = Suffixes(codes, doc, (window, least))
     out = {"n_words": counts.astype(np.int64)}
-    at = np.flatnonzero(deep >= window)
-    out["n_repeat_words"] = np.bincount(doc[covered(at, np.full(len(at), window), n)], minlength=docs)
-    at = np.flatnonzero(deep >= least)
-    out["n_covered_words"] = np.bincount(doc[covered(at, deep[at], n)], minlength=docs)
+    at = np.flatnonzero(suffixes.repeated[window]).astype(np.int32)
+    out["n_repeat_words"] = np.bincount(doc[covered(at, window, n)], minlength=docs)
+    # maximal repeats of `least` words or more: their union is that of the repeated windows of so many words
+    at = np.flatnonzero(suffixes.repeated[least]).astype(np.int32)
+    out["n_covered_words"] = np.bincount(doc[covered(at, least, n)], minlength=docs)
     longest = np.zeros(docs, np.int64)
-    np.maximum.at(longest, doc[at], deep[at])
+    if len(at):
+        np.maximum.at(longest, doc[at], suffixes.deepest(suffixes.repeated[least])[at])
     out["longest_repeat"] = longest
     chars, symbols, dups = [], [], []
     for t in texts:

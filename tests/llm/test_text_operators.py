@@ -104,10 +104,25 @@ def test_lcp_of_many_sequences():
     flat = [(d, q[i:]) for d, q in enumerate(seqs) for i in range(len(q))]
     want = sorted(range(len(flat)), key=lambda i: flat[i])
     assert s.sa.tolist() == want
+    lcp = s.lcp()
     for k in range(1, len(want)):
         (d, a), (e, b) = flat[want[k - 1]], flat[want[k]]
         n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) if d == e else 0
-        assert s.lcp[k] == n
+        assert lcp[k] == n
+
+
+@pytest.mark.parametrize("text", [b"a " * 400_000, b"one two three " * 100_000, (b" ".join(b"w%d" % (i * 7919 % 100_003) for i in range(100_000)) + b"\n") * 2])
+def test_long_repetitive_texts_take_memory_in_proportion(text):
+    import tracemalloc
+
+    tracemalloc.start()
+    m = quality.measure([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = int(m["n_words"][0])
+    assert m["n_covered_words"][0] == n and quality.judge(m)["kept"].tolist() == [False]
+    assert m["longest_repeat"][0] == {400_000: n - 1, 300_000: n - 3, 200_000: n // 2}[n]
+    assert peak < 100 * n + 8 * len(text)
 
 
 def test_quality_verdicts(spark, docs_of, clashing, empty_docs):
