@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
-BUDGET = 1024  # tokens of the turns that a window adds
-HISTORY = 2  # turns before them that it repeats
+BUDGET = 1024  # of all that a window holds, in the unit of estimate()
+HISTORY = 2  # turns before its own that a window repeats, at most
 TARGET = "assistant"
 
 
@@ -23,46 +23,51 @@ def unescape(text: Column) -> Column:
 
 
 def estimate(text: Column) -> Column:
-    """Tokens of a turn where no tokenizer is asked: a quarter of its bytes and four for the template."""
+    """The unit of a budget where no other count is given: a quarter of a turn's bytes and four for the template, about a
+    token each. A column of real token counts can be passed to windows() instead."""
     return F.ceil(F.octet_length(text) / 4).cast("long") + 4
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Column | None = None) -> DataFrame:
-    """(conv_id, window, n_turns, n_repeated, formatted, targets) of turns (conv_id, turn, role, text).
-
-    A conversation's turns stand by turn, then role, then text; null roles and texts are empty. A prefix sum of their
-    tokens deals them to windows: turns that begin in one half of a budget go together, and one of over half a budget ends
-    its window, so no window adds more than the budget but by a single turn that is longer. Turns are never cut. A window
-    first repeats the system turn that opens the conversation and the `history` turns before its own. targets holds
-    (start, size) in code points of the assistant texts, escaped, of its own turns; repeated ones are masked.
-    Rows without a conv_id are one conversation.
+    """(conv_id, window, n_turns, n_repeated, units, formatted, targets) of turns (conv_id, turn, role, text).
+
+    A conversation's turns stand by turn, then role, then text; null roles and texts are empty. What a window holds in all
+    (`units`) keeps the budget: first comes the system turn that opens the conversation, repeated in every window; what it
+    leaves goes to turns of the window's own, and what these leave to the `history` turns before them, the nearest first,
+    which are left out where they don't fit. Turns are never cut, so a window is over the budget only where the system turn
+    and a single turn of its own are. A prefix sum of the turns' units deals them: turns that begin in one half of the room
+    go together, and one of over half the room stands alone. targets holds (start, size) in code points of the assistant texts,
+    escaped, of its own turns; repeated ones are masked. Rows without a conv_id are one conversation.
     """
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (estimate(F.coalesce("text", F.lit(""))) if tokens is None else tokens).cast("long").alias("tok"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("tok", estimate(F.col("text")) if tokens is None else tokens).withColumn("long", (2 * F.col("tok") > budget).cast("long"))
-    t = t.select(
-        "conv_id", "role", "text", F.row_number().over(order).alias("at"),
-        F.floor(2 * F.coalesce(F.sum("tok").over(before), F.lit(0)) / budget).alias("half"), F.coalesce(F.sum("long").over(before), F.lit(0)).alias("longs"),
-        (F.first("role").over(order) == "system").alias("system"),
-    )
-    block = F.struct("half", "longs")
-    t = t.withColumn("new", (F.coalesce(F.lag(block).over(Window.partitionBy("conv_id").orderBy("at")) != block, F.lit(True))).cast("long"))
+    t = t.withColumn("at", F.row_number().over(order)).withColumn("opens", F.first(F.struct("role", "tok")).over(order))
     upto = Window.partitionBy("conv_id").orderBy("at")
-    t = t.withColumn("window", F.sum("new").over(upto) - 1)
-    # a turn goes to its own window, and as history to those of the turns that follow; the system turn to all
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("fixed", F.when(F.col("opens.role") == "system", F.col("opens.tok")).otherwise(0)).withColumn("system", (F.col("opens.role") == "system") & (F.col("at") == 1))
+    t = t.withColumn("own", F.when(F.col("system"), 0).otherwise(F.col("tok"))).withColumn("room", F.greatest(F.lit(budget) - F.col("fixed"), F.lit(1)))
+    t = t.withColumn("long", 2 * F.col("own") > F.col("room")).withColumn("sum", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    t = t.withColumn("block", F.struct(F.floor(2 * F.col("sum") / F.col("room")), F.coalesce(F.sum(F.col("long").cast("long")).over(before), F.lit(0)), "long"))
+    # the turn after the system turn begins no window of its own
+    new = F.coalesce(F.lag("block").over(upto) != F.col("block"), F.lit(True)) & ~F.coalesce(F.lag("system").over(upto), F.lit(False))
+    t = t.select("conv_id", "role", "text", "tok", "at", "fixed", "system", "own", "sum", F.sum(new.cast("long")).over(upto).alias("window")).withColumn("window", F.col("window") - 1)
+    w = Window.partitionBy("conv_id", "window")
+    t = t.withColumn("from", F.struct("window", F.min(F.when(~F.col("system"), F.col("sum"))).over(w).alias("sum"), (F.lit(budget) - F.col("fixed") - F.sum("own").over(w)).alias("left")))
+    # a turn goes to its own window, and as history to those of the turns that follow where it fits; the system turn to all
     last = F.max("window").over(Window.partitionBy("conv_id"))
-    ahead = F.array_compact(F.array(*[F.lead("window", i).over(upto) for i in range(1, history + 1)])) if history else F.array().cast("array<long>")
+    ahead = F.array_compact(F.array(*[F.lead("from", i).over(upto) for i in range(1, history + 1)])) if history else F.array(F.col("from"))
+    fits = F.transform(F.filter(ahead, lambda x: (x["window"] != F.col("window")) & (x["sum"] - F.col("sum") <= x["left"])), lambda x: x["window"])
     rest = F.when(F.col("window") < last, F.sequence(F.col("window") + 1, last)).otherwise(F.array().cast("array<long>"))
-    t = t.withColumn("others", F.when(F.col("system") & (F.col("at") == 1), rest).otherwise(F.array_except(F.array_distinct(ahead), F.array("window"))))
+    t = t.withColumn("others", F.when(F.col("system"), rest).otherwise(F.array_distinct(fits)))
     part = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP), escape(F.col("text")), F.lit(END))
-    t = t.select("conv_id", "at", "window", "others", part.alias("part"), (F.length(escape(F.col("text")))).alias("size"), (F.col("role") == TARGET).alias("target"))
-    dealt = t.select("conv_id", F.explode(F.concat(F.array("window"), "others")).alias("w"), "window", "at", "part", "size", "target")
-    dealt = dealt.select("conv_id", F.col("w").alias("window"), F.struct("at", (F.col("w") != F.col("window")).alias("again"), "part", "size", "target", F.length("part").alias("chars")).alias("x"))
+    t = t.select("conv_id", "at", "window", "others", "tok", part.alias("part"), (F.length(escape(F.col("text")))).alias("size"), (F.col("role") == TARGET).alias("target"))
+    dealt = t.select("conv_id", F.explode(F.concat(F.array("window"), "others")).alias("w"), "window", "at", "tok", "part", "size", "target")
+    dealt = dealt.select("conv_id", F.col("w").alias("window"), F.struct("at", (F.col("w") != F.col("window")).alias("again"), "tok", "part", "size", "target", F.length("part").alias("chars")).alias("x"))
     made = dealt.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("x")).alias("x"))
     ends = "aggregate(x, cast(array(0L) as array<bigint>), (a, y) -> array_append(a, element_at(a, -1) + y.chars))"
     return made.withColumn("ends", F.expr(ends)).select(
         "conv_id", "window", F.size("x").cast("long").alias("n_turns"), F.size(F.filter("x", lambda y: y["again"])).cast("long").alias("n_repeated"),
+        F.aggregate("x", F.lit(0).cast("long"), lambda a, y: a + y["tok"]).alias("units"),
         F.array_join(F.transform("x", lambda y: y["part"]), "").alias("formatted"),
         F.expr(f"filter(transform(x, (y, i) -> if(y.target and not y.again, struct(ends[i + 1] - {len(END)} - y.size as start, cast(y.size as bigint) as size), null)), z -> z is not null)").alias("targets"),
     )
@@ -97,12 +102,14 @@ WITH base AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '
 tok AS (SELECT *, row_number() OVER w AS pos, (octet_length(encode(text)) + 3) // 4 + 4 AS tok, first_value(role) OVER w = 'system' AS sys,
   length('{START}{SEP}{END}') + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS size
   FROM base WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-sums AS (SELECT *, 2 * (sum(tok) OVER w - tok) // {BUDGET} AS half, sum(CASE WHEN 2 * tok > {BUDGET} THEN 1 ELSE 0 END) OVER w - CASE WHEN 2 * tok > {BUDGET} THEN 1 ELSE 0 END AS longs
-  FROM tok WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
-marked AS (SELECT *, CASE WHEN lag(half) OVER w IS DISTINCT FROM half OR lag(longs) OVER w IS DISTINCT FROM longs THEN 1 ELSE 0 END AS new FROM sums WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+room AS (SELECT *, CASE WHEN sys AND pos = 1 THEN 0 ELSE tok END AS own, CASE WHEN sys THEN first_value(tok) OVER w ELSE 0 END AS fixed FROM tok WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+sums AS (SELECT *, sum(own) OVER w - own AS upto, greatest({BUDGET} - fixed, 1) AS room, 2 * own > greatest({BUDGET} - fixed, 1) AS long FROM room WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+block AS (SELECT *, (2 * upto // room) || '-' || (count(*) FILTER (WHERE long) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) || '-' || long AS block FROM sums),
+marked AS (SELECT *, CASE WHEN lag(block) OVER w IS DISTINCT FROM block AND NOT (sys AND pos = 2) THEN 1 ELSE 0 END AS new FROM block WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
 dealt AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY pos) AS win FROM marked),
-starts AS (SELECT conv_id, win, min(pos) AS opens, max(sys) AS sys FROM dealt GROUP BY conv_id, win),
-again AS (SELECT conv_id, sum(d.size) AS chars FROM starts s JOIN dealt d USING (conv_id) WHERE d.pos < s.opens AND (d.pos >= s.opens - {HISTORY} OR d.pos = 1 AND s.sys) GROUP BY conv_id)
+starts AS (SELECT conv_id, win, min(pos) AS opens, min(upto) FILTER (WHERE NOT (sys AND pos = 1)) AS upto, {BUDGET} - max(fixed) - sum(own) AS left_over, max(sys) AS sys FROM dealt GROUP BY conv_id, win),
+again AS (SELECT conv_id, sum(d.size) AS chars FROM starts s JOIN dealt d USING (conv_id)
+  WHERE d.pos < s.opens AND (d.pos = 1 AND s.sys OR d.pos >= s.opens - {HISTORY} AND s.upto - d.upto <= s.left_over) GROUP BY conv_id)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   (sum(size) + coalesce(any_value(chars), 0))::BIGINT AS formatted_chars
