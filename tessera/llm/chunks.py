@@ -24,20 +24,21 @@ class ChunkEncoder:
 
     The pre-tokenizer takes one space into the token that follows it and never ends a token with a space that a character
     other than white space follows. So a text falls into its first word and then chunks of a space and a word, each encoded
-    for itself as in the whole. Texts of which this isn't sure are one chunk. The words of a batch are numbered, each
+    for itself as in the whole. Texts of which this isn't sure are one chunk, and so are those that hold one of the strings in
+    `apart`, which the library cuts out before it looks for pre-tokens. The words of a batch are numbered, each
     distinct one is looked up once, and the ids are gathered by number. Chunks seen are kept up to `most`; then the long
     ones, which come back least, are dropped.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], kind: str = "<u4", most: int = 1_000_000, short: int = 9):
-        self.resolve, self.kind, self.most, self.short, self.cache = resolve, np.dtype(kind), most, short, {}
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], kind: str = "<u4", most: int = 1_000_000, short: int = 9, apart: tuple[str, ...] = ()):
+        self.resolve, self.kind, self.most, self.short, self.apart, self.cache = resolve, np.dtype(kind), most, short, apart, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         collecting = gc.isenabled()
         gc.disable()  # many small objects and no cycles: its passes over the kept chunks would cost more than the rest
         try:
-            whole = [i for i, t in enumerate(texts) if "  " in t]
+            whole = [i for i, t in enumerate(texts) if "  " in t or any(x in t for x in self.apart)]
             taken = set(whole)
             rest = [i for i in range(len(texts)) if i not in taken]
             words = self._split([texts[i] for i in rest])

@@ -6,6 +6,7 @@ import json
 import os
 import zlib
 from array import array
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -21,7 +22,7 @@ MAGIC = b"WVLT0001"
 BLOCK = 1 << 18  # bits of a compressed block
 SHARD_TOKENS = 1_000_000  # a shard closes with the document that reaches them
 TOGETHER = 64  # chunks encoded as one text
-_TOKENIZERS: dict[str, ChunkEncoder] = {}
+_TOKENIZERS: dict[str, ChunkEncoder | WholeEncoder] = {}
 
 
 def build_shard(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray) -> list[bytes]:
@@ -167,19 +168,37 @@ class WaveletFile:
         self.file.close()
 
 
-def tokenizer(path: str) -> ChunkEncoder:
-    """Encodes by a tokenizers file, special strings in texts being ordinary text; one for each worker process."""
+class WholeEncoder:
+    """Encodes each text as a whole, for tokenizers that can't be relied on to cut before a space."""
+
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], kind: str):
+        self.encode, self.kind = whole, np.dtype(kind)
+
+
+def cuts_at_spaces(file: dict) -> bool:
+    """Whether a tokenizers file is plain byte-level BPE, where each word is encoded for itself with the space before it."""
+    pre, added = file.get("pre_tokenizer") or {}, file.get("added_tokens") or []
+    level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    own = all(" " not in x["content"] and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in added)
+    return bool(level and own and file.get("normalizer") is None and file["model"]["type"] == "BPE")
+
+
+def tokenizer(path: str) -> ChunkEncoder | WholeEncoder:
+    """Encodes by a tokenizers file as the library does by default, so a special token written out in a text gets its id; one
+    for each worker process. Chunks are cut where a byte-level pre-tokenizer cuts; of any other file whole texts are encoded."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         kind, code = ("<u2", "H") if t.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
         spaced = np.zeros(t.get_vocab_size(), bool)
         spaced[[i for x, i in t.get_vocab().items() if x.startswith("\u0120")]] = True  # how byte-level BPE writes a space
 
+        def whole(texts: list[str]) -> list[bytes]:
+            return [array(code, x.ids).tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+
         def resolve(chunks: list[str]) -> list[bytes]:
             # chunks of a space and a word are encoded many at a time: each begins with the only token that begins with a space
             plain = [x[:1] == " " and x.rfind(" ") == 0 and not x[-1:].isspace() for x in chunks]
@@ -194,10 +213,12 @@ def tokenizer(path: str) -> ChunkEncoder:
                 raise ValueError(f"{path}: a tokenizer that doesn't begin a token with each space before a word")
             raw = flat.tobytes()
             several = map(raw.__getitem__, map(slice, cuts, cuts[1:]))
-            rest = iter(t.encode_batch_fast([x for x, ok in zip(chunks, plain) if not ok], add_special_tokens=False))
-            return [next(several) if ok else array(code, next(rest).ids).tobytes() for ok in plain]
+            rest = iter(whole([x for x, ok in zip(chunks, plain) if not ok]))
+            return [next(several) if ok else next(rest) for ok in plain]
 
-        _TOKENIZERS[path] = ChunkEncoder(resolve, kind)
+        file = json.loads(t.to_str())
+        apart = tuple(x["content"] for x in file.get("added_tokens") or [])
+        _TOKENIZERS[path] = ChunkEncoder(resolve, kind, apart=apart) if cuts_at_spaces(file) else WholeEncoder(whole, kind)
     return _TOKENIZERS[path]
 
 
@@ -205,7 +226,9 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
     """Encodes documents and writes shards of ids in ascending doc_id order; (part, shard, path, first, tokens) of each.
 
     Rows without an id come first, rows of one id stand by their text. The documents are dealt by ranges of doc_id; each
-    range writes its own shards, whole or not at all, under names that a repeated task takes again.
+    range writes its own shards, whole or not at all, under names that a repeated task takes again. A null text is an empty
+    one, which has the end id only; repeated rows are documents of their own; other columns are not looked at; an empty
+    table makes no shard.
     """
     ship(spark)
     at = scratch(spark, "wavelet")

@@ -25,9 +25,7 @@ def tokenizer_path():
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())  # as it comes: special tokens in texts are special
 
 
 # ---- wavelet matrix ---------------------------------------------------------------------------------------------------
@@ -77,6 +75,27 @@ def test_documents_come_back_from_shards(spark, clashing, library, shard_tokens)
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_ids_are_those_of_the_plain_call(library):
+    rng = random.Random(12)
+    parts = ["a", "word", " ", " ", "\n", "<|endoftext|>", "<|endof", "text|>", "é", "1", ".", ",", "'s", "\t", " 日本", "\xa0", "x,"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    assert sum("<|endoftext|>" in t for t in texts) > 500
+    encoder = wavelet.tokenizer(tokenizer_path())
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, texts = wavelet.tokenizer(path), ["Some words, and more  <|endoftext|> of it", "", "Ünï x"]
+    assert isinstance(encoder, wavelet.WholeEncoder)
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_no_documents(spark, empty_docs):
     assert wavelet.read_shards(spark, wavelet.write_shards(spark, empty_docs, tokenizer_path())).collect() == []
 
