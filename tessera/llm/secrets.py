@@ -1,4 +1,7 @@
-"""Secret scans: patterns, and candidates that decode to what a key or a signed token must look like."""
+"""Secret scans: patterns, and candidates that decode to what a private key or a signed token must look like.
+
+Public keys and certificates have the same encodings and are no secrets: only what holds a private part is reported.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +24,18 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 # runs are maximal, so a least length in the pattern keeps just the matches that are long enough
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+#: A line end inside a key: a real one, or one written out as in JSON and environment files; and what may lead the next line.
+BREAK = r"(?:\r?\n[ \t]*|\\r\\n|\\n)"
+BREAKS = re.compile(BREAK)
+PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30}PRIVATE KEY)-----")
+PEM_HEADER = re.compile(r"[A-Za-z0-9-]+: .*")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}(?:{BREAK}[A-Za-z0-9+/_-]+)*")
+#: Where in a run a key may begin: the first two characters of a DER sequence, or the header of an OpenSSH private key.
+STARTS = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA")
 HEX_CODE = re.compile(r"[0-9A-Fa-f]{64,}")
-SSH = ("ssh-rsa", "ssh-dss", "ssh-ed25519", "ecdsa-sha2-nistp256", "ecdsa-sha2-nistp384", "ecdsa-sha2-nistp521")
+SSH_HEADER = b"openssh-key-v1\0"
+KEY_BYTES = 1 << 16  # a private key has no more; those of 16,384 bits take 9 KB
 DEPTH = 12
 
 
@@ -60,31 +72,66 @@ def der_items(raw: bytes, start: int, end: int, depth: int = 0) -> list[tuple[in
     return out
 
 
-def is_der_key(raw: bytes) -> bool:
-    """One SEQUENCE over all bytes whose nested lengths fit and which holds key material: a long number, or an object
-    identifier with an octet or bit string."""
+def der_size(raw: bytes) -> int:
+    """How many bytes a sequence takes in all, by its first ones; 0 if it can't be a private key's."""
+    if len(raw) < 6 or raw[0] != 0x30:
+        return 0
+    at, size = 2, raw[1]
+    if size >= 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 3:
+            return 0
+        size, at = int.from_bytes(raw[2 : 2 + n], "big"), 2 + n
+    inner = raw[at : at + 3]  # a version or an algorithm comes first
+    first = inner[:2] == b"\x02\x01" and inner[2:3] <= b"\x03" or inner[:1] == b"\x30"
+    return at + size if first and 24 <= at + size <= KEY_BYTES else 0
+
+
+def is_private_der(raw: bytes) -> bool:
+    """One SEQUENCE over all bytes whose nested lengths fit and which is laid out as a private key: a version and five
+    numbers or more (RSA and DSA), a version and an octet string (elliptic curves), a version, an algorithm and an octet string
+    (PKCS 8), or an algorithm and an octet string (PKCS 8, encrypted)."""
     if len(raw) < 24 or raw[0] != 0x30:
         return False
     items = der_items(raw, 0, len(raw))
     if not items or items[0][2] != len(raw):
         return False
-    longest = max((b - a for tag, a, b in items if tag == 0x02), default=0)
-    tags = {tag for tag, _, _ in items}
-    return longest >= 16 or 0x06 in tags and bool(tags & {0x03, 0x04})
+    top, at = [], items[0][1]  # what stands directly in the sequence
+    for tag, a, b in items[1:]:
+        if a > at:
+            top.append((tag, b - a, a, b))
+            at = b
+    tags = [x[0] for x in top]
+    version = tags[:1] == [0x02] and top[0][1] == 1 and raw[top[0][2]] <= 3
+
+    def algorithm(i: int) -> bool:
+        return any(tag == 0x06 and top[i][2] <= a < top[i][3] for tag, a, _ in items)
 
+    if version and len(tags) >= 6 and set(tags[:6]) == {0x02}:
+        return top[1][1] >= 16
+    if version and tags[1:2] == [0x04]:
+        return top[1][1] >= 16 and set(tags[2:]) <= {0xA0, 0xA1}
+    if version and tags[1:3] == [0x30, 0x04]:
+        return algorithm(1) and top[2][1] >= 16
+    return tags == [0x30, 0x04] and algorithm(0) and top[1][1] >= 32
 
-def is_ssh_key(raw: bytes) -> bool:
-    """Length-prefixed fields that fill all bytes, the first naming a key type; or the header of a private key file."""
-    if raw.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(raw):
+
+def is_private_ssh(raw: bytes) -> bool:
+    """The header of an OpenSSH private key and, after it, fields whose lengths fit: cipher, key derivation, its options, the
+    number of keys, a public key and the private part."""
+    if not raw.startswith(SSH_HEADER):
+        return False
+    at, fields = len(SSH_HEADER), []
+    for i in range(6):
+        if i == 3:
+            at += 4  # the number of keys is no field
+            continue
         n = int.from_bytes(raw[at : at + 4], "big")
-        if at + 4 + n > len(raw) or not fields and n > 40:
+        if at + 4 > len(raw) or at + 4 + n > len(raw):
             return False
         fields.append(raw[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(raw) and len(fields) >= 2 and fields[0].decode("latin-1") in SSH
+    return 0 < len(fields[0]) <= 40 and fields[0].isascii() and bool(fields[4])
 
 
 def is_signed_token(head: str, body: str) -> bool:
@@ -104,31 +151,94 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def pem_keys(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of each armoured private key. Its line ends may be written out, and headers may come first; a body
+    that these call encrypted can't be parsed, and counts if it decodes to whole blocks of a cipher."""
+    out, begins = [], list(PEM_BEGIN.finditer(text))
+    for m, after in zip(begins, [*[x.start() for x in begins[1:]], len(text)]):
+        end = f"-----END {m[1]}-----"
+        b = text.find(end, m.end(), after)
+        if b < 0:
+            continue
+        lines = BREAKS.split(text[m.end() : b])
+        headers = [x for x in lines if PEM_HEADER.fullmatch(x)]
+        raw = decoded("".join(x for x in lines if not PEM_HEADER.fullmatch(x)))
+        locked = any("ENCRYPTED" in x for x in headers)
+        if raw and (is_private_der(raw) or is_private_ssh(raw) or locked and len(raw) >= 32 and len(raw) % 8 == 0):
+            out.append((m.start(), KINDS.index("pem"), b + len(end)))
+    return out
+
+
+def keys_in(run: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of each private key in a run of base64 without line ends; anything may stand before and after."""
+    out, at = [], 0
+    while m := STARTS.search(run, at):
+        i, at = m.start(), m.start() + 1
+        if run[i] == "M":
+            size = der_size(decoded(run[i : i + 12]) or b"")
+            n = -(-size * 4 // 3)  # characters that hold so many bytes
+            if not size or i + n > len(run) or not is_private_der((decoded(run[i : i + n]) or b"")[:size]):
+                continue
+            kind = "der"
+        else:
+            n, kind = len(run) - i, "ssh"
+            if not is_private_ssh(decoded(run[i : i + n // 4 * 4]) or b""):
+                continue
+        out.append((i, KINDS.index(kind), i + n))
+        at = i + n
+    return out
+
+
+def run_keys(text: str, m: re.Match) -> list[tuple[int, int, int]]:
+    """(start, kind, end) in the text of each private key in one run, across the line ends in it."""
+    pieces, at = [], m.start()
+    for x in BREAKS.finditer(text, *m.span()):
+        pieces.append((at, x.start()))
+        at = x.end()
+    pieces.append((at, m.end()))
+    found = keys_in("".join(text[a:b] for a, b in pieces))
+    if not found:
+        return found
+    firsts = list(accumulate((b - a for a, b in pieces), initial=0))
+
+    def place(i: int) -> int:
+        k = bisect_right(firsts, i) - 1
+        return pieces[k][0] + i - firsts[k]
+
+    out = []
+    for a, kind, b in found:
+        end = place(b - 1) + 1
+        out.append((place(a), kind, end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))))
+    return out
+
+
+class Reported:
+    """What is reported so far, and where: a later kind of candidate doesn't report the same place again."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int, int]] = []
+
+    def add(self, found: list[tuple[int, int, int]]) -> None:
+        """found: in order, without overlaps among themselves. So are those held, of which each is looked up by its start."""
+        starts = [a for a, _, _ in self.spans]
+
+        def free(a: int, b: int) -> bool:
+            i = bisect_left(starts, b) - 1
+            return i < 0 or self.spans[i][2] <= a
+
+        self.spans = sorted(self.spans + [x for x in found if free(x[0], x[2])])
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of what decodes to a key or a signed token."""
-    out, taken = [], []
+    """(start, kind, end) of what decodes to a private key or a signed token."""
+    out = Reported()
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            raw = decoded(m[2])
-            if raw and (is_der_key(raw) or is_ssh_key(raw)):
-                out.append((m.start(), 3, m.end()))
-                taken.append(m.span())
+        out.add(pem_keys(text))
     if "eyJ" in text:
-        for m in TOKEN.finditer(text):
-            if is_signed_token(m[1], m[2]):
-                out.append((m.start(), 4, m.end()))
-                taken.append(m.span())
-    for pattern, decode in ((BASE64, decoded), (HEX_CODE, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(a < y and b > x for x, y in taken):
-                continue
-            raw = decode(m[0])
-            kind = 5 if raw and is_der_key(raw) else 6 if raw and is_ssh_key(raw) else None
-            if kind:
-                out.append((a, kind, b))
-                taken.append((a, b))
-    return sorted(out)
+        out.add([(m.start(), KINDS.index("jwt"), m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])])
+    out.add([x for m in RUN.finditer(text) for x in run_keys(text, m)])
+    out.add([(m.start(), KINDS.index("der"), m.end()) for m in HEX_CODE.finditer(text) if is_private_der(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))])
+    return out.spans
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -138,8 +248,9 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document.
 
-    Spans are in code points, the end exclusive, by start and then kind. Those of the patterns all stay; confirmed keys
-    and signed tokens come on top, and may overlap them. Null and empty texts have none; whole texts are searched.
+    Spans are in code points, the end exclusive, by start and then kind. Those of the patterns all stay; confirmed private
+    keys and signed tokens come on top, and may overlap them. Null and empty texts have none; whole texts are searched.
+    Repeated rows appear as often as they come in; other columns are not looked at; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
 

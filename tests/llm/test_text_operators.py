@@ -248,30 +248,101 @@ def der(tag, *parts):
     return bytes([tag]) + size + body
 
 
-def rsa_like():
+def number(rng, n):
+    return der(0x02, b"\x55" + bytes(rng.randrange(256) for _ in range(n - 1)))
+
+
+def private_keys():
+    """Private keys by name: as their standards lay them out, with random numbers in them."""
     rng = random.Random(3)
-    return der(0x30, der(0x02, b"\0"), *[der(0x02, b"\x55" + bytes(rng.randrange(256) for _ in range(n))) for n in (128, 3, 127, 64)])
+    small, oid, blob = lambda n: der(0x02, bytes([n])), der(0x30, der(0x06, b"\x2a\x86\x48\x01"), der(0x05)), lambda n: bytes(rng.randrange(256) for _ in range(n))
+    rsa = der(0x30, small(0), *[number(rng, n) for n in (128, 3, 127, 64, 64, 64, 64, 64)])
+    return {
+        "rsa": rsa, "dsa": der(0x30, small(0), *[number(rng, n) for n in (128, 20, 128, 128, 20)]), "ec": der(0x30, small(1), der(0x04, blob(32)), der(0xA0, der(0x06, b"\x2b\x81\x04\x00\x22"))),
+        "pkcs8": der(0x30, small(0), oid, der(0x04, rsa)), "ed25519": der(0x30, small(0), der(0x30, der(0x06, b"\x2b\x65\x70")), der(0x04, der(0x04, blob(32)))), "encrypted": der(0x30, der(0x30, der(0x06, b"\x2a\x86"), der(0x30, der(0x04, blob(8)))), der(0x04, blob(160))),
+    }
+
+
+def public_parts():
+    rng = random.Random(4)
+    blob = bytes(rng.randrange(256) for _ in range(260))
+    algorithm = der(0x30, der(0x06, b"\x2a\x86\x48"), der(0x05))
+    spki = der(0x30, algorithm, der(0x03, b"\0" + blob))
+    return {"pkcs1 public": der(0x30, number(rng, 256), number(rng, 3)), "public": spki, "certificate": der(0x30, der(0x30, der(0xA0, der(0x02, b"\x02")), number(rng, 9), algorithm, spki), algorithm, der(0x03, b"\0" + blob)), "signature": der(0x30, number(rng, 32), number(rng, 32))}
+
+
+def field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def openssh():
+    return b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(field(b"ssh-ed25519") + field(b"k" * 32)) + field(b"p" * 136)
 
 
 def test_structures_are_confirmed():
-    key = rsa_like()
-    assert secrets.is_der_key(key) and not secrets.is_der_key(key[:-1]) and not secrets.is_der_key(key + b"\0") and not secrets.is_der_key(b"")
-    field = lambda x: len(x).to_bytes(4, "big") + x
-    assert secrets.is_ssh_key(field(b"ssh-ed25519") + field(b"k" * 32)) and not secrets.is_ssh_key(field(b"ssh-nothing") + field(b"k" * 32)) and not secrets.is_ssh_key(b"\0\0\0\x07ssh-rsa")
+    for name, key in private_keys().items():
+        assert secrets.is_private_der(key) and secrets.der_size(key[:9]) == len(key), name
+        assert not any(secrets.is_private_der(x) for x in (key[:-1], key + b"\0", b"", key[:40]))
+    assert not any(secrets.is_private_der(x) for x in public_parts().values())
+    assert secrets.is_private_ssh(openssh()) and not secrets.is_private_ssh(openssh()[:-1]) and not secrets.is_private_ssh(field(b"ssh-ed25519") + field(b"k" * 32))
     b64 = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     assert secrets.is_signed_token(b64({"alg": "HS256"}), b64({"sub": 1})) and not secrets.is_signed_token(b64({"typ": "x"}), b64({})) and not secrets.is_signed_token("eyJ", "x")
 
 
+def wrapped(text, end="\n", width=64):
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
 def test_spans():
-    key, token = base64.b64encode(rsa_like()).decode(), ".".join([base64.urlsafe_b64encode(b'{"alg":"none","n":1}').decode().rstrip("="), base64.urlsafe_b64encode(b'{"a":1}').decode().rstrip("="), "sig"])
-    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(key[i : i + 64] for i in range(0, len(key), 64)) + "\n-----END RSA PRIVATE KEY-----"
-    text = f"é {pem} then {key} then {token} then {rsa_like().hex()} and {'A' * 60}"
-    kinds = [secrets.KINDS[k] for _, k, _ in secrets.confirmed_spans(text)]
-    assert kinds == ["pem", "der", "jwt", "der"]
-    assert [text[a:b] for a, k, b in secrets.confirmed_spans(text)][:3] == [pem, key, token]
+    rsa = private_keys()["rsa"]
+    key, token = base64.b64encode(rsa).decode(), ".".join([base64.urlsafe_b64encode(b'{"alg":"none","n":1}').decode().rstrip("="), base64.urlsafe_b64encode(b'{"a":1}').decode().rstrip("="), "sig"])
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{wrapped(key)}\n-----END RSA PRIVATE KEY-----"
+    text = f"é {pem} then {key} then {token} then {rsa.hex()} and {'A' * 60}"
+    found = secrets.confirmed_spans(text)
+    assert [secrets.KINDS[k] for _, k, _ in found] == ["pem", "der", "jwt", "der"]
+    assert [text[a:b] for a, _, b in found] == [pem, key, token, rsa.hex()]
     assert secrets.confirmed_spans("A" * 200 + " " + "0" * 100 + " " + "ab12" * 30) == []
 
 
+@pytest.mark.parametrize("name", [*private_keys(), "openssh"])
+def test_keys_are_found_however_they_are_written(name):
+    raw = openssh() if name == "openssh" else private_keys()[name]
+    key, kind, label = base64.b64encode(raw).decode(), "ssh" if name == "openssh" else "der", {"openssh": "OPENSSH ", "rsa": "RSA ", "ec": "EC "}.get(name, "")
+    armour = lambda end, head="": f"-----BEGIN {label}PRIVATE KEY-----{end}{head}{wrapped(key, end)}{end}-----END {label}PRIVATE KEY-----"
+    for written, want in ((armour("\n"), "pem"), (armour("\r\n"), "pem"), (armour("\\n"), "pem"), (armour("\n    "), "pem"), (armour("\n", "Comment: of mine\n\n"), "pem"), (key, kind), (wrapped(key), kind), (wrapped(key, "\\n"), kind), (key.rstrip("="), kind)):
+        text = f"é words before: {written} and words after"
+        assert [(secrets.KINDS[k], text[a:b]) for a, k, b in secrets.confirmed_spans(text)] == [(want, written)], written
+    if name != "openssh":
+        text = f"see keys/of-mine/and_others/{key} there"
+        assert [(secrets.KINDS[k], text[a:b]) for a, k, b in secrets.confirmed_spans(text)] == [("der", key)]
+
+
+def test_encrypted_armour_is_found():
+    body = wrapped(base64.b64encode(bytes(range(256)) * 2).decode())
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    text = f"x -----BEGIN RSA PRIVATE KEY-----\n{head}{body}\n-----END RSA PRIVATE KEY----- y"
+    assert secrets.confirmed_spans(text) == [(2, secrets.KINDS.index("pem"), len(text) - 2)]
+    assert secrets.confirmed_spans(text.replace(head, "")) == []
+
+
+@pytest.mark.parametrize("name", public_parts())
+def test_public_parts_are_no_secrets(name):
+    key = base64.b64encode(public_parts()[name]).decode()
+    for text in (key, wrapped(key), f"-----BEGIN PUBLIC KEY-----\n{wrapped(key)}\n-----END PUBLIC KEY-----", f"-----BEGIN CERTIFICATE-----\n{wrapped(key)}\n-----END CERTIFICATE-----", "ssh-ed25519 " + base64.b64encode(field(b"ssh-ed25519") + field(b"k" * 32)).decode() + " me@host", public_parts()[name].hex()):
+        assert secrets.confirmed_spans(text) == []
+
+
+def test_many_keys_and_long_runs_take_time_in_proportion():
+    import time
+
+    key = base64.b64encode(private_keys()["ed25519"]).decode()
+    begin = time.monotonic()
+    assert len(secrets.confirmed_spans(f"a {key} " * 20_000)) == 20_000
+    for text in ("MIIB" * 500_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 50_000, "eyJ" * 500_000, "x" * 2_000_000, "M" * 1_000_000):
+        assert secrets.confirmed_spans(text) == []
+    assert time.monotonic() - begin < 60
+
+
 def brute_base(text):
     out = []
     kinds = (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"))
