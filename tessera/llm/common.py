@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = 16 << 20
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -26,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI: spark.checkpoint.dir, or where it is unset (tests) an own one."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir. Where it is unset, a local session (as in
+    tests) gets one of its own; a cluster is an error, since a folder of the driver's machine can't be seen by executors."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         sc.setCheckpointDir(at)
         at = sc.getCheckpointDir()
@@ -46,18 +48,27 @@ def materialise(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of materialise() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_tessera_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once a session; a cluster needs no other installation of it.
 
-    Also lowers Spark's default bound on the bytes of an Arrow batch, unless the session has set one of its own: a batch
-    is held by Spark and by the worker, and the operators gather no more than this of it at a time."""
+    No setting of the session is changed. A batch is held by Spark and by the worker, so where workers have little memory,
+    set spark.sql.execution.arrow.maxBytesPerBatch below Spark's default of 64 MB; the operators take a batch in slices."""
     sc = spark.sparkContext
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(bound).lower() in ("67108864b", "67108864"):
-        spark.conf.set(bound, str(BATCH_BYTES))
     top = Path(__file__).resolve().parents[1]
     if getattr(sc, "_tessera_shipped", False) or not top.is_dir():
         return

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
 
     Alternating large and small stars: the rows stay at most as many as the links, no group is gathered (a node's
     neighbours only enter a minimum), and nothing but counts comes to the driver. Links to itself and null ends are left
-    out, repeated ones count once. Each round is written to the shared folder, so a lost executor costs no earlier round.
+    out, repeated ones count once. Each round is written to the shared folder, so a lost executor costs no earlier round,
+    and takes the place of the one before.
     """
     e = links.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialise(spark, e, "links")
@@ -39,7 +40,8 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
     for _ in range(rounds):
         if not before[0]:
             break
-        e = materialise(spark, _small_star(_large_star(e)), "stars")
+        old, e = e, materialise(spark, _small_star(_large_star(e)), "stars")
+        discard(old)  # the new table is whole, so nothing goes back to the one before
         after = _state(e)
         if after == before:
             break

@@ -70,7 +70,7 @@ def repeats(sets: list[np.ndarray]) -> list[bool]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, key, n, buckets) of each doc_id; of several texts the one that stays counts, which mark tells."""
+    """(doc_id, mark, key, n, buckets, rows) of each doc_id; of several texts the one that stays counts, which mark tells."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -83,7 +83,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
     each = pick(docs, "doc_id", "text").where("doc_id is not null").withColumn("mark", F.xxhash64("text"))
     each = each.mapInArrow(run, "doc_id long, mark long, key binary, n long, buckets array<long>")
-    return each.groupBy("doc_id").agg(F.min(F.struct("mark", "key", "n", "buckets")).alias("x")).select("doc_id", "x.*")
+    return each.groupBy("doc_id").agg(F.min(F.struct("mark", "key", "n", "buckets")).alias("x"), F.count("*").alias("rows")).select("doc_id", "x.*", "rows")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -169,4 +169,4 @@ def drop_similar(spark: SparkSession, docs: DataFrame, task_shingles: int = TASK
     out = gone[0]
     for x in gone[1:]:
         out = out.unionByName(x)
-    return without(docs, out)
+    return without(docs, out, each.where("rows > 1").select(F.col("doc_id").alias("id")))

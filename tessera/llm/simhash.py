@@ -13,6 +13,7 @@ from .common import column, materialise, pick, raw_texts, ship, slices, table
 from .graph import components
 
 SEED = 42
+HOT_SHARE = 1000  # a key that one row in so many has is hot
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -78,11 +79,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, radius
     its fingerprint, no component, and links nothing. An empty table gives an empty result.
     """
     each = materialise(spark, fingerprints(docs, width, id_col, text_col), "fingerprints")
-    reps = each.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
+    reps = each.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     reps = materialise(spark, reps, "fingerprint-ids")
-    found = components(spark, near_links(reps, radius))
-    known = reps.join(found, reps["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    out = each.join(known, "fp", "left")
+    found = components(spark, near_links(reps.select("fp", "id"), radius))
+    known = reps.join(found, reps["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n")
+    # a fingerprint that a thousandth of all rows has is hot; there are a thousand at most, so they are broadcast, and the
+    # other rows are joined by a shuffle that no fingerprint dominates
+    known = materialise(spark, known, "fingerprint-components")
+    least = max(1, -(-each.count() // HOT_SHARE))
+    hot = F.broadcast(known.where(F.col("n") >= least).select("fp", F.col("component_id").alias("hot")))
+    marked = each.join(hot, "fp", "left")
+    rest = marked.where("hot is null").select("doc_id", "fp").join(known.where(F.col("n") < least).select("fp", "component_id"), "fp", "left")
+    out = marked.where("hot is not null").select("doc_id", "fp", F.col("hot").alias("component_id")).unionByName(rest.select("doc_id", "fp", "component_id"))
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -91,17 +99,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, r
 
     Rows of one doc_id count as copies, of which one stays. Rows without a doc_id stay.
     """
-    return without(docs, near_duplicates(spark, docs, width, radius).where("component_id < doc_id").select(F.col("doc_id").alias("id")))
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents without those of gone(id), and one row of each doc_id. Rows without a doc_id stay."""
-    gone = gone.select(F.col("id").alias("_gone")).distinct()
-    names = docs.columns
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = materialise(spark, near_duplicates(spark, docs, width, radius), "near-duplicates")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
+    return without(docs, found.where("component_id < doc_id").select(F.col("doc_id").alias("id")), again)
+
+
+def without(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """The documents without those of gone(id), and one row (the least text by hash) of each doc_id of again(id), which
+    several rows have. Rows without a doc_id stay. Only rows of `again` are ranked; the others meet the ids once."""
+    gone, again, names = gone.select(F.col("id").alias("_gone")).distinct(), again.select(F.col("id").alias("_again")).distinct(), docs.columns
+    single = gone.unionByName(again.withColumnRenamed("_again", "_gone"))
+    kept = docs.join(single, docs["doc_id"] == single["_gone"], "left_anti")
+    several = again.join(gone, again["_again"] == gone["_gone"], "left_anti")
+    several = docs.join(several, docs["doc_id"] == several["_again"], "left_semi")
     mark = "_row" + "_" * max(map(len, names))
-    rank = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text")))
-    return kept.withColumn(mark, F.when(F.col("doc_id").isNull(), 1).otherwise(rank)).where(F.col(mark) == 1).select(*names)
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return kept.unionByName(several.withColumn(mark, rank).where(F.col(mark) == 1).select(*names))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
