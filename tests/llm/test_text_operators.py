@@ -50,7 +50,7 @@ def test_lines_match_brute_force(spark, docs_of, clashing):
 
 
 def test_lines_with_many_shards(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(lines.build_index, "__defaults__", (10, 2, 7))
+    monkeypatch.setattr(lines.dropped_keys, "__defaults__", (7,))
     rows = [(i, "\n".join(f"a line that {j} shares" for j in range(i, i + 40))) for i in range(30)]
     assert sorted([tuple(r) for r in lines.dedup_lines(spark, docs_of(rows)).collect()], key=str) == brute_lines(rows)
 
