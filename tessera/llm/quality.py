@@ -207,8 +207,37 @@ def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    """The verdict and what it rests on. How long the longest repeat is stays with quality(); whether it is too long is in `kept`."""
+    return quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+def _oracle() -> str:
+    """SQL: a hash of each word and the words after it, for 1, 2, 4, ... words, from which windows of any width are compared.
+
+    A text is rejected for repeats of MIN_REPEAT words by the words that windows of so many words cover, which are those of the
+    maximal repeats, and for a repeat of over MAX_LONGEST words if it holds any window of one word more twice.
+    """
+    widths = {"base": WINDOW, "covered": MIN_REPEAT, "far": MAX_LONGEST + 1}
+    steps, k = ["h1 AS (SELECT doc_id, pos, n, hash(word) AS k FROM cut)"], 1
+    power = {name: 1 << (w.bit_length() - 1) for name, w in widths.items()}
+    while k < max(power.values()):
+        steps.append(f"h{2 * k} AS (SELECT doc_id, pos, n, hash(k, lead(k, {k}) OVER (PARTITION BY doc_id ORDER BY pos)) AS k FROM h{k})")
+        k *= 2
+    for name, w in widths.items():
+        steps.append(f"{name}_at AS (SELECT doc_id, pos, n, hash(k, lead(k, {w - power[name]}) OVER (PARTITION BY doc_id ORDER BY pos)) AS k FROM h{power[name]})")
+        steps.append(f"{name}_met AS (SELECT doc_id, pos, CASE WHEN pos + {w} - 1 <= n AND count(*) OVER (PARTITION BY doc_id, k, pos + {w} - 1 <= n) > 1 THEN 1 ELSE 0 END AS met FROM {name}_at)")
+        steps.append(f"{name} AS (SELECT doc_id, sum(met) AS n FROM (SELECT doc_id, max(met) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS met FROM {name}_met) GROUP BY doc_id)")
+    return rf"""
+WITH words AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+cut AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos, len(w) AS n FROM words),
+{(", " + chr(10)).join(steps)},
+lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM words) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(base.n, 0)::BIGINT AS n_repeat_words, coalesce(covered.n, 0)::BIGINT AS n_covered_words, coalesce(far.n, 0) AS far
+  FROM words LEFT JOIN base USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN far USING (doc_id)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, base_failed, NOT (base_failed OR n_covered_words > {MAX_COVERED} * n_words OR far > 0) AS kept FROM b"""
 
 
 QUERIES = {"op4_quality": op4_quality}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_quality": _oracle()}
