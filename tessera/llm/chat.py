@@ -37,7 +37,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
     which are left out where they don't fit. Turns are never cut, so a window is over the budget only where the system turn
     and a single turn of its own are. A prefix sum of the turns' units deals them: turns that begin in one half of the room
     go together, and one of over half the room stands alone. targets holds (start, size) in code points of the assistant texts,
-    escaped, of its own turns; repeated ones are masked. Rows without a conv_id are one conversation.
+    escaped, of its own turns; repeated ones are masked. Rows without a conv_id are one conversation; those without a turn come
+    first. Repeated rows are turns of their own; other columns are not looked at; no turns give no windows.
     """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (estimate(F.coalesce("text", F.lit(""))) if tokens is None else tokens).cast("long").alias("tok"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")

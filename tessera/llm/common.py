@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+HOT_SHARE = 1000
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -63,6 +65,18 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_hot(rows: DataFrame, known: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined with known(key, n, ...), which has each key once and how many of the `total` rows have it.
+
+    A key that one row in HOT_SHARE has is hot. There are HOT_SHARE such keys at most, so they are broadcast, and their rows
+    stay where they are; the others meet by a shuffle that no key dominates. known should be a table, as it is read thrice.
+    """
+    least = max(2, -(-total // HOT_SHARE))
+    hot, rest = known.where(F.col("n") >= least).drop("n"), known.where(F.col("n") < least).drop("n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once a session; a cluster needs no other installation of it.
 

@@ -80,6 +80,12 @@ def automaton(path: str):
     return (a if listed else None), 1
 
 
+def at_once(paths: list[str]) -> int:
+    """Bytes of text that a worker scans together. It holds one automaton; where there are several, each is built again for
+    every lot of texts, which is why that is as large as an Arrow batch then."""
+    return 8 << 20 if len(paths) < 2 else 1 << 30
+
+
 def scan(texts: list[bytes], paths: list[str]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
     """(words, hit spans of words, items) of each text. A span is (first word, words); spans may overlap."""
     plain = [b" ".join(normal(t).split()).decode("latin-1") for t in texts]
@@ -125,11 +131,14 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, width:
     An item's windows are its runs of `width` words, or all its words if it has fewer; one without words has none. A word
     of a document is hit if it lies in an occurrence of a window. spans are the runs of hit words in code points of the
     original. Null and empty texts have no words; items that share an id are one item, those without id share the id ''.
+    Repeated rows appear as often as they come in; other columns are not looked at; an empty table gives an empty result, and
+    no items contaminate nothing.
     """
     paths = write_windows(spark, items, width)
+    together = at_once(paths)
 
     def run(batches):
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", together):
             texts = raw_texts(column(b, "text"))
             found = scan(texts, paths)
             hits = [int(hit_words(n, s).sum()) if s else 0 for n, s, _ in found]
@@ -143,11 +152,15 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, width:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents in which no window of an item occurs; the columns stay as they are."""
+    """The documents in which no window of an item occurs; the columns stay as they are, whatever their names.
+
+    Null and empty texts have no words and stay; repeated rows stay repeated, or all go. An empty table gives an empty result.
+    """
     paths = write_windows(spark, items, width)
+    together = at_once(paths)
 
     def run(batches):
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", together):
             yield b.filter(pa.array([not s for _, s, _ in scan(raw_texts(column(b, "text")), paths)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

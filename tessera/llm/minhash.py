@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, materialise, pick, raw_texts, ship, slices
+from .common import column, join_hot, materialise, pick, raw_texts, ship, slices
 from .graph import components
 from .simhash import SEED, without
 
@@ -142,8 +142,8 @@ def drop_similar(spark: SparkSession, docs: DataFrame, task_shingles: int = TASK
     are copies of each other. Rows of one doc_id count as copies, of which one stays. Rows without a doc_id stay.
     """
     each = materialise(spark, _signatures(docs), "shingles")
-    reps = each.groupBy("key").agg(F.min("doc_id").alias("least"))
-    marked = each.join(reps, "key").withColumn("copy", F.col("least") < F.col("doc_id"))
+    reps = materialise(spark, each.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "shingle-keys")
+    marked = join_hot(each.withColumnRenamed("n", "size"), reps, "key", each.count(), "inner").withColumnRenamed("size", "n").withColumn("copy", F.col("least") < F.col("doc_id"))
     marked = materialise(spark, marked.select(F.col("doc_id").alias("id"), "mark", "n", "copy", F.when(~F.col("copy"), F.col("buckets")).alias("buckets")), "shingle-sets")
     gone = [marked.where("copy").select("id")]
     marks = marked.where("not copy").select("id", "mark", "n")

@@ -184,7 +184,8 @@ def quality(docs: DataFrame) -> DataFrame:
     base_failed: under 20 words, or over 30 % of the words in 8-word windows found twice or more. The suffix-array rule
     also rejects a text when over a quarter of its words lie in substrings of 16 words or more that the text repeats, or
     when the longest of these has over 150 words. A null or empty text has no words and fails. Repeats are looked for
-    within a text only; whole texts are taken, of any length.
+    within a text only; whole texts are taken, of any length, with about 90 bytes of memory for each word. Repeated rows
+    appear as often as they come in; other columns are not looked at; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
 
@@ -196,7 +197,10 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that the quality rules keep; the columns stay as they are."""
+    """The documents that the quality rules keep; the columns stay as they are, whatever their names.
+
+    Null and empty texts have no words, so they go. Repeated rows are judged alike. An empty table gives an empty result.
+    """
     ship(spark)
 
     def run(batches):

@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, materialise, pick, raw_texts, ship, slices, table
+from .common import column, join_hot, materialise, pick, raw_texts, ship, slices, table
 from .graph import components
 
 SEED = 42
-HOT_SHARE = 1000  # a key that one row in so many has is hot
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -83,14 +82,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, radius
     reps = materialise(spark, reps, "fingerprint-ids")
     found = components(spark, near_links(reps.select("fp", "id"), radius))
     known = reps.join(found, reps["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n")
-    # a fingerprint that a thousandth of all rows has is hot; there are a thousand at most, so they are broadcast, and the
-    # other rows are joined by a shuffle that no fingerprint dominates
     known = materialise(spark, known, "fingerprint-components")
-    least = max(1, -(-each.count() // HOT_SHARE))
-    hot = F.broadcast(known.where(F.col("n") >= least).select("fp", F.col("component_id").alias("hot")))
-    marked = each.join(hot, "fp", "left")
-    rest = marked.where("hot is null").select("doc_id", "fp").join(known.where(F.col("n") < least).select("fp", "component_id"), "fp", "left")
-    out = marked.where("hot is not null").select("doc_id", "fp", F.col("hot").alias("component_id")).unionByName(rest.select("doc_id", "fp", "component_id"))
+    out = join_hot(each, known, "fp", each.count())
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

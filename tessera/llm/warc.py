@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, filesystem, materialise, pick, raw_texts, scratch, ship, slices, table, write_file
+from .common import column, filesystem, join_hot, materialise, pick, raw_texts, scratch, ship, slices, table, write_file
 
 PACKAGE_BYTES = 32 << 20  # of records, from which a package closes
 READ_BYTES = 4 << 20  # neighbouring records are fetched together up to this
@@ -32,9 +32,10 @@ def digest(payload: bytes) -> str:
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record, as a gzip member: a response with the payload, or a revisit with its HTTP head only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    own = page if page is not None else f"none-{hashlib.sha1((url or '').encode() + payload).hexdigest()}"  # rows without an id are told apart
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{PAGE}{'' if page is None else page}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{PAGE}{own}>",
         f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest(payload)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
@@ -160,9 +161,12 @@ def write_packages(spark: SparkSession, pages: DataFrame, least: int = 0, packag
     at = scratch(spark, "warc")
     rows = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     key = F.sha2(F.col("html").cast("binary"), 256)
-    # only digests are grouped, with partial maxima, so a payload that a third of all pages share is no hot group
-    last = rows.where(F.octet_length("html") >= least).groupBy(key.alias("k")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("k", "last")
-    joined = rows.withColumn("k", key).join(last, "k", "left").select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("last")), F.col("last")).alias("refers_to"))
+    # only digests are grouped, with partial maxima
+    found = rows.where(F.octet_length("html") >= least).groupBy(key.alias("k")).agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    found = materialise(spark, found, "payloads")
+    total = int(found.agg(F.sum("n")).first()[0] or 0)
+    both = join_hot(rows.withColumn("k", key), found.where("n > 1 and last is not null"), "k", total)
+    joined = both.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("last")), F.col("last")).alias("refers_to"))
 
     def run(batches):
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -189,7 +193,8 @@ def read_packages(packages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the packages."""
 
     def page(field: str | None) -> int | None:
-        return int(x) if field and (x := field.strip("<>").removeprefix(PAGE)) else None
+        x = (field or "").strip("<>").removeprefix(PAGE)
+        return int(x) if x.lstrip("-").isdigit() else None
 
     def run(batches):
         for b in batches:
