@@ -163,25 +163,25 @@ def measure(texts: list[bytes], window: int = WINDOW, least: int = MIN_REPEAT) -
     return out | {"word_chars": np.array(chars, np.int64), "n_symbols": np.array(symbols, np.int64), "n_dup_lines": np.array(dups, np.int64)}
 
 
-def judge(m: dict[str, np.ndarray], max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> dict[str, np.ndarray]:
-    base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+def judge(m: dict[str, np.ndarray], min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> dict[str, np.ndarray]:
+    base = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     repeats = (m["n_covered_words"] > max_covered * m["n_words"]) | (m["longest_repeat"] > max_longest)
     return m | {"base_failed": base, "kept": ~(base | repeats)}
 
 
-def judged(batches):
+def judged(batches, min_words: int):
     """Batches of about 4 MB of text with the verdicts on them."""
     for b in slices(batches, "text", 4 << 20):
-        yield b, judge(measure(raw_texts(column(b, "text"))))
+        yield b, judge(measure(raw_texts(column(b, "text"))), min_words)
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat")
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Measures and verdict of every document, a row for each that comes in.
 
-    base_failed: under 20 words, or over 30 % of the words in 8-word windows found twice or more. The suffix-array rule
+    base_failed: under `min_words` words, or over 30 % of the words in 8-word windows found twice or more. The suffix-array rule
     also rejects a text when over a quarter of its words lie in substrings of 16 words or more that the text repeats, or
     when the longest of these has over 150 words. A null or empty text has no words and fails. Repeats are looked for
     within a text only; whole texts are taken, of any length, with about 90 bytes of memory for each word. Repeated rows
@@ -190,13 +190,13 @@ def quality(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        for b, m in judged(batches):
+        for b, m in judged(batches, min_words):
             yield pa.RecordBatch.from_arrays([column(b, "doc_id").cast(pa.int64()), *[pa.array(m[k].astype(np.int64)) for k in COLUMNS], pa.array(m["base_failed"]), pa.array(m["kept"])], ["doc_id", *COLUMNS, "base_failed", "kept"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(f'{k} long' for k in COLUMNS)}, base_failed boolean, kept boolean")
 
 
-def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents that the quality rules keep; the columns stay as they are, whatever their names.
 
     Null and empty texts have no words, so they go. Repeated rows are judged alike. An empty table gives an empty result.
@@ -204,7 +204,7 @@ def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ship(spark)
 
     def run(batches):
-        for b, m in judged(batches):
+        for b, m in judged(batches, min_words):
             yield b.filter(pa.array(m["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

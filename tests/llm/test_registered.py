@@ -58,7 +58,7 @@ def test_op2(spark, folders):
         assert got == want
 
 
-def brute_quality(text):
+def brute_quality(text, least=20):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) by windows held in dictionaries."""
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -73,7 +73,7 @@ def brute_quality(text):
         return len(hit)
 
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    failed = len(words) < 20 or 100 * inside(8) > 30 * len(words)
+    failed = len(words) < least or 100 * inside(8) > 30 * len(words)
     kept = not failed and inside(16) <= 0.25 * len(words) and inside(151) == 0
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), inside(8), failed, kept
 
