@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1000
+_WRITTEN: dict[str, list[str]] = {}
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -41,8 +42,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which clean() removes."""
+    path = f"{shared_folder(spark).rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that the operators of this session have written to the shared folder: shards, packages and tables between
+    steps. Results that are still to be computed read them, so write these first."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
@@ -60,9 +75,7 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_tessera_path", None)
         if path:
-            spark = df.sparkSession
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(df.sparkSession, path)
 
 
 def join_hot(rows: DataFrame, known: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:

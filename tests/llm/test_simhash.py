@@ -1,3 +1,4 @@
+import os
 import random
 from itertools import combinations
 
@@ -73,6 +74,20 @@ def test_links_two_bits_apart_are_found_and_three_are_not(spark):
     assert got == want
 
 
+def test_what_is_written_can_be_removed(spark, docs_of):
+    from tessera.llm import common
+
+    common.clean(spark)
+    out = simhash.near_duplicates(spark, docs_of(texts(30)))
+    out.collect()
+    folder = common.shared_folder(spark).removeprefix("file:").replace("///", "/").replace("//", "/")
+    held = lambda: {p for p in os.listdir(f"{folder}/tessera")} if os.path.isdir(f"{folder}/tessera") else set()
+    mine = {p.rpartition("/")[2] for p in common._WRITTEN[spark.sparkContext.applicationId]}
+    assert mine & held() and sum(p.startswith("stars") for p in mine & held()) <= 1  # rounds take each other's place
+    common.clean(spark)
+    assert not mine & held()
+
+
 def test_odd_rows(spark, odd_docs, clashing, empty_docs):
     for d in (odd_docs, clashing):
         got = simhash.near_duplicates(spark, d).collect()
