@@ -31,19 +31,19 @@ LEXICON = (
     "idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "dumb",
     "idiotin", "dummkopf", "trottel", "abschaum", "arschloch", "crétin", "imbécile", "connard", "ordure", "estúpido", "imbécil", "basura",
 )
-#: Patterns that a voter each takes for a toxic text.
+#: Patterns that a voter each takes for a toxic text, in lower case, after strings of which one is in each match.
 PATTERNS = (
-    ("you_are", re.compile(r"\byou(?:'re| are| is)? (?:an? |all |such )?(?:idiot|moron|loser|scum|trash|clown|stupid|pathetic)", re.I)),
-    ("hate", re.compile(r"\b(?:hate|despise) (?:you|them|all)\b", re.I)),
-    ("get_lost", re.compile(r"\b(?:shut up|get lost|go away|drop dead)\b", re.I)),
-    ("masked", re.compile(r"\b[a-z][*#@]{2,}[a-z]*\b", re.I)),
+    ("you_are", ("you",), re.compile(r"\byou(?:'re| are| is)? (?:an? |all |such )?(?:idiot|moron|loser|scum|trash|clown|stupid|pathetic)")),
+    ("hate", ("hate ", "despise "), re.compile(r"\b(?:hate|despise) (?:you|them|all)\b")),
+    ("get_lost", ("shut up", "get lost", "go away", "drop dead"), re.compile(r"\b(?:shut up|get lost|go away|drop dead)\b")),
+    ("masked", ("**", "##", "@@"), re.compile(r"\b[a-z](?:\*{2,}|#{2,}|@{2,})[a-z]*\b")),
 )
-#: Patterns that a voter each takes for a clean text.
+#: Patterns that a voter each takes for a clean text, likewise.
 CLEAN = (
-    ("licence", re.compile(r"\b(?:licen[cs]ed under|copyright|all rights reserved)\b", re.I)),
-    ("contact", re.compile(r"\w@\w{1,63}\.\w|\(\d{3}\) \d{3}")),
-    ("setting", re.compile(r"\b\w+ = [\"']")),
-    ("table", re.compile(r" \| .{1,40} \| ")),
+    ("licence", ("licensed under", "licenced under", "copyright", "all rights reserved"), re.compile(r"\b(?:licen[cs]ed under|copyright|all rights reserved)\b")),
+    ("contact", ("@", ") "), re.compile(r"@\w{1,63}\.\w|\(\d{3}\) \d{3}")),
+    ("setting", (" = ",), re.compile(r" = [\"']")),
+    ("table", (" | ",), re.compile(r" \| .{1,40} \| ")),
 )
 
 
@@ -55,6 +55,11 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+def is_letter(c: str) -> bool:
+    """What WORD takes."""
+    return c.isalnum() and not c.isdecimal()
+
+
 def stem_counts(words: set[str]) -> Counter:
     """How many distinct words begin with each stem."""
     return Counter(w[:n] for w in words for n in STEMS if len(w) >= n)
@@ -70,24 +75,37 @@ class Voters:
     def __init__(self, mined: list[tuple[str, int]]):
         self.mined, stems = mined, {s for s, _ in mined}
         lexicon = [w for w in LEXICON if w not in stems]
-        self.names = [f"stem:{s}:{n}" for s, n in mined] + [f"word:{w}" for w in lexicon] + [f"pattern:{n}" for n, _ in PATTERNS] + [f"clean:{n}" for n, _ in CLEAN]
+        self.names = [f"stem:{s}:{n}" for s, n in mined] + [f"word:{w}" for w in lexicon] + [f"pattern:{n}" for n, *_ in PATTERNS] + [f"clean:{n}" for n, *_ in CLEAN]
         self.toxic, self.count = len(self.names) - len(CLEAN), len(self.names)
-        self.words = {w: len(mined) + i for i, w in enumerate(lexicon)}
-        self.by_head: dict[str, list[tuple[str, int]]] = defaultdict(list)
-        for i, (s, _) in enumerate(mined):
-            self.by_head[s[: min(STEMS)]].append((s, i))
-        self.columns = self.count + 3
+        self.lexicon = lexicon
+        self.columns, self._found = self.count + 3, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_found": None}  # each worker builds its own automaton
+
+    def automaton(self):
+        if self._found is None:
+            import ahocorasick
+
+            self._found = ahocorasick.Automaton()
+            for i, s in enumerate([*(s for s, _ in self.mined), *self.lexicon]):
+                self._found.add_word(s, (i, len(s)))
+            self._found.make_automaton()
+        return self._found
 
     def votes(self, text: str) -> list[int]:
-        words, met = words_of(text), Counter()
-        for w in words:
-            for s, i in self.by_head.get(w[: min(STEMS)], ()):
-                if w.startswith(s):
-                    met[i] += 1
-        out = [i for i, n in met.items() if n >= self.mined[i][1]] + [self.words[w] for w in words & self.words.keys()]
+        low, met = text.lower(), defaultdict(set)
+        for last, (i, size) in self.automaton().iter(low):
+            start, end = last + 1 - size, last + 1
+            if start and is_letter(low[start - 1]):
+                continue
+            while end < len(low) and is_letter(low[end]):
+                end += 1
+            if i < len(self.mined) or end == last + 1:
+                met[i].add(low[start:end])
+        out = [i for i, words in met.items() if i >= len(self.mined) or len(words) >= self.mined[i][1]]
         signs, first = len(out), self.toxic - len(PATTERNS)
-        out += [first + i for i, (_, p) in enumerate(PATTERNS) if p.search(text)]
-        out += [self.toxic + i for i, (_, p) in enumerate(CLEAN) if p.search(text)]
+        out += [first + i for i, (_, parts, p) in enumerate(PATTERNS + CLEAN) if any(x in low for x in parts) and p.search(low)]
         return sorted(out + [self.count + i for i in range(min(3, signs))])
 
 
@@ -180,6 +198,7 @@ def training_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, mos
     A text weighs 1 / n if it shares a MinHash bucket of its five-word shingles with n - 1 others, so that a group of near
     copies counts about as one text and none is dropped.
     """
+    ship(spark)
     ids = pick(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     # at most `most` pairs of two integers, so the broadcast has a bound

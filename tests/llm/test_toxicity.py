@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -56,6 +57,22 @@ def test_gold_labels_are_no_input_of_the_label_model(spark):
     assert len(set(m.kind[: len(voters.mined)])) > 1 and m.accuracy[: len(voters.mined)].min() > 0.5
 
 
+def test_votes_are_those_of_the_words():
+    rng = random.Random(3)
+    voters = toxicity.Voters([("lowe", 2), ("tra", 1), ("idiot", 1)])
+    parts = ["loweit", "loweis", "Lowe", "xlowe", "trash", "TRA", "tr", "idiots", "idiot", "scum", "scums", "²scum", "scum2", "é", " ", " ", ".", "_", "tratra", "İdiot", "you are trash", "** x", "a**b", "(123) 456", "copyright "]
+    names = voters.names
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        words = toxicity.words_of(t)
+        stems = [f"stem:{s}:{n}" for s, n in voters.mined if sum(w.startswith(s) for w in words) >= n]
+        want = stems + [f"word:{w}" for w in toxicity.LEXICON if w in words and w != "idiot"]
+        got = voters.votes(t)
+        assert [names[i] for i in got if i < voters.toxic - len(toxicity.PATTERNS)] == sorted(want, key=names.index), t
+        assert sum(i >= voters.count for i in got) == min(3, len(want))
+        assert [n for n, _, p in toxicity.PATTERNS + toxicity.CLEAN if p.search(t.lower())] == [names[i].partition(":")[2] for i in got if voters.toxic - len(toxicity.PATTERNS) <= i < voters.count], t
+
+
 def held_out(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     rows = toxicity.op6_toxicity(spark, sf_dir).join(labels, "doc_id").where("held_out").collect()
