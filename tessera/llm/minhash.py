@@ -131,11 +131,12 @@ def _compared(docs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return one.join(other, "least").select("id", "text", "other").mapInArrow(run, "id long").distinct()
 
 
-def drop_similar(spark: SparkSession, docs: DataFrame, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def drop_similar(spark: SparkSession, docs: DataFrame, task_shingles: int = TASK_SHINGLES, linked: DataFrame | None = None) -> DataFrame:
     """The documents without those whose five-word shingles have a Jaccard similarity of 0.8 or more to those of a document
     of smaller doc_id that stays; the columns stay as they are.
 
-    Sets that are equal need no candidates. Others are candidates where they share one of BANDS buckets. A connected
+    Sets that are equal need no candidates. Others are candidates where they share one of BANDS buckets, or a component of
+    linked(doc_id, component_id), as another method finds them. A connected
     component of candidates is decided by one task, in order of doc_id, from the texts. Of a component too large for that,
     documents that are the least of all their buckets stay, those alike to them go, and the rest is taken anew: each
     round settles the least document at least, and only rows of a document and its bucket are held. Texts without words
@@ -148,6 +149,9 @@ def drop_similar(spark: SparkSession, docs: DataFrame, task_shingles: int = TASK
     gone = [marked.where("copy").select("id")]
     marks = marked.where("not copy").select("id", "mark", "n")
     live = marked.where("not copy").select("id", F.explode("buckets").alias("bucket"))
+    if linked is not None:  # a component is one more bucket
+        groups = linked.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.xxhash64(F.lit("linked"), "component_id").alias("bucket")).distinct()
+        live = live.unionByName(groups.join(marks.select("id"), "id", "left_semi"))
     while True:
         ends = live.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket", "least")
         live = materialise(spark, live.join(ends, "bucket"), "candidates")

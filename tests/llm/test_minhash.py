@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessera.llm import minhash
+from tessera.llm import minhash, simhash
 
 import corpus_pipeline
 
@@ -54,3 +54,17 @@ def test_odd_rows_of_the_stage(spark, clashing, empty_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(4) == 1 and None in ids and 1 in ids and not {2, 3} & set(ids) and len(ids) == len(ODD) - 3
     assert minhash.drop_similar(spark, empty_docs).collect() == []
+
+
+def test_what_op1_links_is_a_candidate_too(spark, docs_of, monkeypatch):
+    """Without any bucket the stage still finds near copies that op1 links, and keeps what it links that is not alike."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words[::-1]))]
+    import numpy as np
+
+    monkeypatch.setattr(minhash, "buckets", lambda hashes: np.zeros(0, np.int64))
+    linked = simhash.near_duplicates(spark, docs_of(rows))
+    assert {r["doc_id"]: r["component_id"] for r in linked.collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()) == [1, 3]
+    far = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, component_id long")
+    assert sorted(r["doc_id"] for r in minhash.drop_similar(spark, docs_of(rows), linked=far).collect()) == [1, 3]
