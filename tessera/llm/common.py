@@ -15,10 +15,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1000
+SIFT_BITS = 1 << 25  # of a filter of ids: 4 MB
 _WRITTEN: dict[str, list[str]] = {}
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -90,6 +91,28 @@ def join_hot(rows: DataFrame, known: DataFrame, key: str, total: int, how: str =
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def _places(key: Column, bits: int) -> list[Column]:
+    """The two places of a key in a filter of so many bits, a power of two."""
+    h = F.xxhash64(F.lit("sift"), key.cast("long"))
+    return [F.when(key.isNotNull(), x.bitwiseAND(F.lit(bits - 1))) for x in (h, F.shiftright(h, 32))]
+
+
+def sift(rows: DataFrame, key: str, ids: DataFrame, most: int = SIFT_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among ids, the rows whose key surely isn't), by a Bloom filter of the one column of ids, longs.
+
+    A null key is among no ids. The filter is broadcast; it has 16 bits an id and `most` bits at most, so with many ids it
+    lets more through. A join with ids must follow; it moves the first rows only, not the texts of all."""
+    spark, at = rows.sparkSession, ids.columns[0]
+    bits = min(most, 1 << max(10, (16 * ids.count()).bit_length()))
+    held = ids.select(F.explode(F.array(*_places(F.col(at), bits))).alias("place")).groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits"))
+    got, words = held.toArrow(), np.zeros(bits // 64, np.int64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    name = "_bits" + "_" * max(map(len, rows.columns))
+    known = F.broadcast(spark.createDataFrame(pa.table({name: pa.array([words], pa.list_(pa.int64()))})))
+    one, two = (F.getbit(F.get(known[name], F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1 for p in _places(rows[key], bits))
+    return rows.join(known, one & two, "left_semi"), rows.join(known, one & two, "left_anti")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once a session; a cluster needs no other installation of it.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, join_hot, materialise, pick, raw_texts, ship, slices
+from .common import column, join_hot, materialise, pick, raw_texts, ship, sift, slices
 from .graph import components
 from .simhash import SEED, without
 
@@ -87,8 +87,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The text of each of nodes(id, mark, ...)."""
-    some = pick(docs, "doc_id", "text").withColumn("_mark", F.xxhash64("text"))
+    """The text of each of nodes(id, mark, ...). Of the other texts few are shuffled."""
+    some = sift(pick(docs, "doc_id", "text"), "doc_id", nodes.select("id"))[0].withColumn("_mark", F.xxhash64("text"))
     return some.join(nodes, (some["doc_id"] == nodes["id"]) & (some["_mark"] == nodes["mark"])).drop("doc_id", "_mark", "mark")
 
 

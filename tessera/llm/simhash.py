@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, join_hot, materialise, pick, raw_texts, ship, slices, table
+from .common import column, join_hot, materialise, pick, raw_texts, ship, sift, slices, table
 from .graph import components
 
 SEED = 42
@@ -99,12 +99,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, r
 
 def without(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFrame:
     """The documents without those of gone(id), and one row (the least text by hash) of each doc_id of again(id), which
-    several rows have. Rows without a doc_id stay. Only rows of `again` are ranked; the others meet the ids once."""
+    several rows have. Rows without a doc_id stay. Only rows that a filter of these ids lets through are shuffled."""
     gone, again, names = gone.select(F.col("id").alias("_gone")).distinct(), again.select(F.col("id").alias("_again")).distinct(), docs.columns
     single = gone.unionByName(again.withColumnRenamed("_again", "_gone"))
-    kept = docs.join(single, docs["doc_id"] == single["_gone"], "left_anti")
+    doubtful, kept = sift(docs, "doc_id", single)
+    kept = kept.unionByName(doubtful.join(single, doubtful["doc_id"] == single["_gone"], "left_anti"))
+    if again.isEmpty():
+        return kept
     several = again.join(gone, again["_again"] == gone["_gone"], "left_anti")
-    several = docs.join(several, docs["doc_id"] == several["_again"], "left_semi")
+    several = doubtful.join(several, doubtful["doc_id"] == several["_again"], "left_semi")
     mark = "_row" + "_" * max(map(len, names))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     return kept.unionByName(several.withColumn(mark, rank).where(F.col(mark) == 1).select(*names))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessera.llm import minhash, simhash
+from tessera.llm import common, minhash, simhash
 
 import corpus_pipeline
 
@@ -68,3 +68,24 @@ def test_what_op1_links_is_a_candidate_too(spark, docs_of, monkeypatch):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()) == [1, 3]
     far = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, component_id long")
     assert sorted(r["doc_id"] for r in minhash.drop_similar(spark, docs_of(rows), linked=far).collect()) == [1, 3]
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Only what may be among the ids meets them by a join, exactly; a small filter lets more through, and loses none."""
+    docs = spark.range(-2000, 2000).selectExpr("nullif(id, 1000) as doc_id", "repeat('x', 100) as text", "id as _bits")
+    gone, none = spark.range(0, 2000, 50), spark.range(0)
+    for most in (1 << 25, 1024):
+        some, rest = common.sift(docs, "doc_id", gone, most)
+        ids = {r["doc_id"] for r in some.collect()}
+        assert set(range(0, 2000, 50)) - {1000} <= ids and None not in ids and some.columns == docs.columns
+        assert some.count() + rest.count() == 4000 and (len(ids) < 200 or most == 1024)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.without(docs, gone, none)
+        shown = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        moved = [shown[i + 1] for i, x in enumerate(shown) if "Exchange hashpartitioning(doc_id" in x]
+        assert len(moved) == 1 and "LeftSemi" in moved[0]
+        assert sorted(map(str, out.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id < 0 or doc_id % 50 != 0").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
