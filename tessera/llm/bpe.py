@@ -137,7 +137,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True) ->
 
     def run(batches):
         bpe = codec(ranks.value, pattern)
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", 2 << 20):
             packed = bpe.encode(str_texts(column(b, "text")))
             cols = [column(b, "doc_id").cast(pa.int64()), pa.array([len(x) // 4 for x in packed], pa.int64())]
             names = ["doc_id", "n_tokens"]
