@@ -1,4 +1,5 @@
-"""Byte-level BPE: a minimal perfect hash for pre-tokens that are tokens, a heap over linked bytes for the others."""
+"""Byte-level BPE: a minimal perfect hash for pre-tokens that are tokens; the others merge many at a time by arrays, long ones by a
+heap over linked bytes."""
 
 from __future__ import annotations
 
@@ -16,9 +17,47 @@ from .common import column, pick, ship, slices, str_texts, table
 from .mph import PerfectHash
 
 CHUNKS_KEPT = 400_000
+SHORT = 48  # bytes of a pre-token that merges together with others
+TOGETHER = 8192  # pre-tokens that merge together: some 100,000 bytes, whose arrays stay in the processor's cache
+BLOCK = 1 << 17  # bytes of ids that are decoded together
+NONE = 1 << 30  # in place of the rank of a pair that has none
 _CODECS: dict[tuple, ByteBpe] = {}
 
 
+class PairTable:
+    """Ranks of pairs, by open addressing; looked up by whole arrays."""
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int64)
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of several keys for one place the last gets it
+            got = self.keys[at] == keys[left]
+            self.ranks[at[got]] = ranks[left[got]]
+            at, left = (at[~got] + 1) & (len(self.keys) - 1), left[~got]
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of each key, NONE where it has none."""
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.ranks[at], NONE)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            held = self.keys[at]
+            hit, on = held == keys[left], held >= 0
+            out[left[hit]] = self.ranks[at[hit]]
+            on &= ~hit
+            at, left = at[on], left[on]
+        return out
+
+
 class ByteBpe:
     """Encodes and decodes by a table of ranks, as lines of base64 token and rank, and a pattern that cuts out pre-tokens."""
 
@@ -30,6 +69,9 @@ class ByteBpe:
         self.token = [b""] * (max(self.rank.values()) + 1)
         for t, r in self.rank.items():
             self.token[r] = t
+        self.flat = np.frombuffer(b"".join(self.token), np.uint8)
+        self.size = np.fromiter(map(len, self.token), np.int32, len(self.token))
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
         self.find = regex.compile(pattern).findall
         # first tier: perfect hash of the tokens' hashes; at each number the rank, whose token is compared
         tokens = list(self.rank)
@@ -41,6 +83,8 @@ class ByteBpe:
         self.byte = [self.rank[bytes([i])] for i in range(256)]
         rank = self.rank
         self.pair = {rank[t[:i]] << 20 | rank[t[i:]]: r for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank}
+        self.bytes = np.array(self.byte, np.int64)
+        self.pairs = PairTable(np.fromiter(self.pair, np.int64, len(self.pair)), np.fromiter(self.pair.values(), np.int64, len(self.pair)))
         self.encoder = ChunkEncoder(self.chunks, most=CHUNKS_KEPT)
 
     @staticmethod
@@ -86,16 +130,65 @@ class ByteBpe:
                     heappush(heap, s << 32 | p)
         return [x for x in ids if x is not None]
 
+    def merge_many(self, tokens: list[bytes]) -> list[bytes]:
+        """Packed ids of pre-tokens, each as merge() has it.
+
+        A round merges in every pre-token the pair that merge() would, all at once by arrays of the parts left; pre-tokens without
+        a pair leave. So there are as many rounds as the longest has merges, and the arrays shrink from round to round.
+        """
+        if not tokens:
+            return []
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        of = np.repeat(np.arange(len(tokens)), size)
+        ids = self.bytes[np.frombuffer(b"".join(tokens), np.uint8)]
+        rank = np.full(len(ids), NONE, np.int64)  # of the pair that begins at each part
+        pairs = np.flatnonzero(of[:-1] == of[1:])
+        rank[pairs] = self.pairs.lookup(ids[pairs] << 20 | ids[pairs + 1])
+        done = []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), first)
+            merges = least < NONE << 32
+            at = least[merges] & 0xFFFFFFFF
+            stays = np.repeat(merges, np.diff(first, append=len(ids)))
+            if len(at) < len(first):
+                done.append((of[~stays], ids[~stays]))
+            ids[at] = rank[at]
+            stays[at + 1] = False
+            at = (np.cumsum(stays) - 1)[at]
+            of, ids, rank = of[stays], ids[stays], rank[stays]
+            # the pairs with the part after and the part before are new
+            rank[at] = NONE
+            left = np.concatenate((at[:-1], at[-1:][at[-1:] + 1 < len(ids)]))
+            left = left[of[left] == of[left + 1]]
+            before = at[at > 0] - 1
+            before = before[of[before] == of[before + 1]]
+            changed = np.concatenate((left, before))
+            rank[changed] = self.pairs.lookup(ids[changed] << 20 | ids[changed + 1])
+        of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        ids = ids[np.argsort(of, kind="stable")].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(of, minlength=len(tokens))) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def merged(self, tokens: list[bytes]) -> list[bytes]:
+        """Packed ids of pre-tokens: short ones merge together, long ones each for itself."""
+        out = []
+        for at in range(0, len(tokens), TOGETHER):
+            some = tokens[at : at + TOGETHER]
+            short = iter(self.merge_many([t for t in some if len(t) <= SHORT]))
+            out += [next(short) if len(t) <= SHORT else array("I", self.merge(t)).tobytes() for t in some]
+        return out
+
     def pretokens(self, tokens: list[bytes]) -> list[bytes]:
         """Packed ids (little-endian, 32 bits) of distinct pre-tokens."""
         if not tokens:
             return []
         at = self.mph.lookup(self._hash(tokens))
         ids = self.at[at].tolist()
-        packed, table, out = self.packed, self.token, []
-        for t, i, k in zip(tokens, ids, at.tolist(), strict=True):
-            out.append(packed(i) if k >= 0 and table[i] == t else array("I", self.merge(t)).tobytes())
-        return out
+        packed, table = self.packed, self.token
+        out = [packed(i) if k >= 0 and table[i] == t else None for t, i, k in zip(tokens, ids, at.tolist(), strict=True)]
+        merged = iter(self.merged([t for t, x in zip(tokens, out) if x is None]))
+        return [next(merged) if x is None else x for x in out]
 
     @staticmethod
     def packed(i: int) -> bytes:
@@ -112,7 +205,15 @@ class ByteBpe:
         return self.encoder.encode(texts)
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        """The bytes of packed ids, some thousand at a time."""
+        return b"".join(map(self._decoded, (packed[at : at + BLOCK] for at in range(0, len(packed), BLOCK))))
+
+    def _decoded(self, packed: bytes) -> bytes:
+        ids = np.frombuffer(packed, "<u4")
+        size = self.size[ids]
+        place = np.repeat(self.start[ids] - np.cumsum(size, dtype=np.int32) + size, size)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.flat[place].tobytes()
 
 
 def codec(ranks: bytes, pattern: str) -> ByteBpe:

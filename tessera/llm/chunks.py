@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ import pyarrow.compute as pc
 
 #: White space other than the space; \\s of this module knows a few more than Unicode's property, which does no harm here.
 _ODD = re.compile(r"[^\S ]")
+_SPACE = re.compile(r"\s")
 
 
 def divisible(text: str) -> bool:
@@ -26,12 +28,12 @@ class ChunkEncoder:
     other than white space follows. So a text falls into its first word and then chunks of a space and a word, each encoded
     for itself as in the whole. Texts of which this isn't sure are one chunk, and so are those that hold one of the strings in
     `apart`, which the library cuts out before it looks for pre-tokens. The words of a batch are numbered, each
-    distinct one is looked up once, and the ids are gathered by number. Chunks seen are kept up to `most`; then the long
-    ones, which come back least, are dropped.
+    distinct one is looked up once, and the ids are gathered by number. Chunks seen are kept up to `most`; beyond it the
+    shortest `share` of so many stay, as long ones come back least, so that many batches pass until the next such sweep.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], kind: str = "<u4", most: int = 1_000_000, short: int = 9, apart: tuple[str, ...] = ()):
-        self.resolve, self.kind, self.most, self.short, self.apart, self.cache = resolve, np.dtype(kind), most, short, apart, {}
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], kind: str = "<u4", most: int = 1_000_000, share: float = 0.75, apart: tuple[str, ...] = ()):
+        self.resolve, self.kind, self.most, self.share, self.apart, self.cache = resolve, np.dtype(kind), most, share, apart, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
@@ -43,7 +45,7 @@ class ChunkEncoder:
             rest = [i for i in range(len(texts)) if i not in taken]
             words = self._split([texts[i] for i in rest])
             found = list(map(self.cache.get, words[0]))
-            if any(x[-1:].isspace() for x, v in zip(words[0], found) if v is None):
+            if _SPACE.search("".join([x[-1:] for x, v in zip(words[0], found) if v is None])):
                 # the space after such a word may begin no pre-token: the texts are looked at one by one
                 whole += [i for i in rest if not divisible(texts[i])]
                 taken = set(whole)
@@ -90,18 +92,28 @@ class ChunkEncoder:
         new = [x for x, v in zip(words, found) if v is None]
         if not new:
             return found
-        if len(self.cache) + len(new) > self.most:
-            self.cache = {k: v for k, v in self.cache.items() if len(k) <= self.short}
         # a letter and one of these marks at the end are never one token: the word before it is a chunk too
         marked = [x for x in new if x[-1:] in (",", ".") and x[-2:-1].isalpha()]
-        fresh = dict.fromkeys(set(new).difference(marked))
-        fresh |= dict.fromkeys(y for x in marked if (y := x[:-1]) not in self.cache)
+        fresh = dict.fromkeys(new)
+        for x in marked:
+            del fresh[x]
+        fresh |= dict.fromkeys([y for x in marked if (y := x[:-1]) not in self.cache])
         fresh = dict(zip(fresh, self.resolve([" " + x for x in fresh]), strict=True))
         if marked:
             mark = dict(zip(",.", self.resolve([",", "."]), strict=True))
             fresh.update([(x, (fresh.get(x[:-1]) or self.cache[x[:-1]]) + mark[x[-1]]) for x in marked])
         self.cache.update(fresh)
-        for x in new:
-            if x[-1:].isspace():  # to be seen again by the next batch that has it
-                del self.cache[x]
+        for x in [x for x in new if x[-1:].isspace()]:  # to be seen again by the next batch that has it
+            del self.cache[x]
+        if len(self.cache) > self.most:
+            self._sweep(int(self.most * self.share))
         return [fresh[x] if v is None else v for x, v in zip(words, found)]
+
+    def _sweep(self, room: int) -> None:
+        """Leaves the shortest chunks, as many as there is room for; of the length that doesn't wholly fit, the newest."""
+        size = np.fromiter(map(len, self.cache), np.int64, len(self.cache))
+        fit = int(np.searchsorted(np.cumsum(np.bincount(size)), room, "right"))
+        stays = size < fit
+        last = np.flatnonzero(size == fit)
+        stays[last[len(last) - (room - int(stays.sum())) :]] = True
+        self.cache = dict(compress(self.cache.items(), stays.tolist()))

@@ -230,6 +230,48 @@ def test_a_full_cache_changes_nothing(codec, library):
         assert [ids(x) for x in small.encode(texts[at : at + 5])] == [library.encode_ordinary(t) for t in texts[at : at + 5]]
 
 
+def test_short_chunks_dont_fill_the_cache(codec, library, monkeypatch):
+    sweeps, sweep = [], chunks.ChunkEncoder._sweep
+    monkeypatch.setattr(chunks.ChunkEncoder, "_sweep", lambda self, room: (sweeps.append(room), sweep(self, room)))
+    small = chunks.ChunkEncoder(codec.chunks, most=200)
+    for at in range(0, 2000, 10):
+        text = "of the " + " ".join(f"q{i}x" for i in range(at, at + 10))
+        assert [ids(x) for x in small.encode([text])] == [library.encode_ordinary(text)]
+        assert len(small.cache) <= 200
+    assert "the" in small.cache and "q0x" in small.cache  # the shortest stay
+    assert len(sweeps) <= 40 and set(sweeps) == {150}  # each frees room for 50
+
+
+def test_merging_together_is_merging_alone(codec, library, monkeypatch):
+    rng, tokens = random.Random(9), list(codec.rank)
+    some = [bytes(rng.randrange(256) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    some += [b"".join(rng.choices(tokens, k=rng.randint(1, 6))) or b"x" for _ in range(300)]
+    some += [bytes([rng.choice(b"aein ")]) * rng.randint(1, 70) for _ in range(200)] + [b"a"]
+    want = [codec.merge(t) for t in some]
+    for together in (1, 7, bpe.TOGETHER):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        assert [ids(x) for x in codec.merged(some)] == want
+    assert codec.merged([]) == [] and codec.merge_many([]) == []
+    assert [codec.decode(np.array(x, "<u4").tobytes()) for x in want] == some
+    # ordinary words merge by arrays, not one by one
+    monkeypatch.setattr(codec, "merge", None)
+    text = "onerndinging eneinchlichtech, Hausnummernschild thblenden***"
+    assert ids(codec.encode([text])[0]) == library.encode_ordinary(text)
+
+
+def test_merges_of_untrained_ranks():
+    import tiktoken
+
+    for seed in range(30):
+        rng = random.Random(seed)
+        tokens = list(dict.fromkeys([bytes([i]) for i in range(256)] + ["".join(rng.choices("abc", k=rng.randint(2, 5))).encode() for _ in range(2 * seed)]))
+        rank = dict(zip(tokens, rng.sample(range(len(tokens)), len(tokens))))
+        odd = bpe.ByteBpe(b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in rank.items()), bpe.default_ranks()[1])
+        other = tiktoken.Encoding("odd", pat_str=bpe.default_ranks()[1], mergeable_ranks=rank, special_tokens={})
+        texts = ["".join(rng.choices("abc", k=rng.randint(1, 60))) for _ in range(50)]
+        assert [ids(x) for x in odd.encode(texts)] == [other.encode_ordinary(t) for t in texts]
+
+
 def test_encode_frames(clashing, empty_docs, library):
     got = bpe.encode(clashing, *bpe.default_ranks()).collect()
     assert len(got) == len(ODD)
