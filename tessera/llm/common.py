@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import json
 import os
@@ -191,10 +192,14 @@ def unpack_arrays(raw: bytes) -> tuple[dict, dict[str, np.ndarray]]:
 class ByteCache:
     """Least recently used values up to a number of bytes."""
 
+    every: list[ByteCache] = []
+
     def __init__(self, most: int):
-        self.most, self.used, self.held = most, 0, OrderedDict()
+        self.most, self.used, self.held, self.asked = most, 0, OrderedDict(), False
+        self.every.append(self)
 
     def get(self, key, load):
+        self.asked = True
         if key in self.held:
             self.held.move_to_end(key)
             return self.held[key][0]
@@ -226,8 +231,24 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def give_back() -> None:
+    """What a worker need not hold when it goes on to tasks of other steps: values of caches that this task did not ask for,
+    and memory that is free, which the allocators keep."""
+    for cache in ByteCache.every:
+        if not cache.asked:
+            cache.held.clear()
+            cache.used = 0
+        cache.asked = False
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text (a longer row goes alone), which bounds a worker's memory."""
+    """The same rows in batches of about `most` bytes of text (a longer row goes alone), which bounds a worker's memory; after
+    the last of a task the worker gives back what it can."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -237,6 +258,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
         for end in [*cuts.tolist(), b.num_rows]:
             yield b.slice(start, end - start)
             start = end
+    give_back()
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

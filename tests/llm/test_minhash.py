@@ -70,6 +70,39 @@ def test_what_op1_links_is_a_candidate_too(spark, docs_of, monkeypatch):
     assert sorted(r["doc_id"] for r in minhash.drop_similar(spark, docs_of(rows), linked=far).collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("missing", [1.0, 0.3])
+def test_what_the_buckets_miss_is_found(spark, docs_of, monkeypatch, missing):
+    """Without any bucket, and with a few for some documents only, the stage drops what is similar and nothing else."""
+    import numpy as np
+
+    whole = minhash.buckets
+    monkeypatch.setattr(minhash, "buckets", lambda hashes: np.zeros(0, np.int64) if len(hashes) == 0 or int(hashes[0]) % 10 < 10 * missing else whole(hashes))
+    rows = near(30, seed=21)
+    assert sorted(r["doc_id"] for r in minhash.drop_similar(spark, docs_of(rows)).collect()) == brute(rows) != sorted({i for i, _ in rows})
+    # 3 goes by 2 until 2 turns out to go by 1; then 3 is back
+    words = [f"w{i}" for i in range(140)]
+    rows = [(i, " ".join(words[k : k + 104])) for i, k in ((1, 0), (2, 10), (3, 20))]
+    assert brute(rows) == [1, 3]
+    linked = spark.createDataFrame([(2, 2), (3, 2)], "doc_id long, component_id long")
+    monkeypatch.setattr(minhash, "buckets", lambda hashes: np.zeros(0, np.int64))
+    assert sorted(r["doc_id"] for r in minhash.drop_similar(spark, docs_of(rows), linked=linked).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sets_alike_share_a_key(seed):
+    """However many shingles come last as common ones, and at the very border of 0.8."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    for _ in range(300):
+        both = rng.integers(0, 1 << 64, int(rng.integers(1, 60)), np.uint64)
+        one, two = (np.unique(np.concatenate((both, rng.integers(0, 1 << 64, int(rng.integers(0, len(both) // 8 + 2)), np.uint64)))) for _ in range(2))
+        often = np.unique(rng.choice(np.concatenate((one, two)), int(rng.integers(0, len(one)))))
+        if minhash.alike(len(np.intersect1d(one, two)), len(one), len(two)):
+            assert len(np.intersect1d(minhash.least_part(one, often), minhash.least_part(two, often)))
+    assert len(minhash.least_part(np.zeros(0, np.uint64), often)) == 0
+
+
 def test_texts_that_stay_are_not_shuffled(spark):
     """Only what may be among the ids meets them by a join, exactly; a small filter lets more through, and loses none."""
     docs = spark.range(-2000, 2000).selectExpr("nullif(id, 1000) as doc_id", "repeat('x', 100) as text", "id as _bits")
@@ -89,3 +122,17 @@ def test_texts_that_stay_are_not_shuffled(spark):
         assert sorted(map(str, out.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id < 0 or doc_id % 50 != 0").collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_worker_gives_back_what_other_steps_have_left():
+    """Caches that a task did not ask for are empty after it; those that it asked for stay for the next."""
+    import pyarrow as pa
+
+    one, two = common.ByteCache(100), common.ByteCache(100)
+    task = lambda: list(common.slices(iter([pa.RecordBatch.from_pydict({"text": ["a", None, "bc"]})]), "text", 2))
+    one.get("a", lambda key: (key, 1))
+    two.get("b", lambda key: (key, 1))
+    assert sum(b.num_rows for b in task()) == 3 and one.held and two.held
+    one.get("a", lambda key: (key, 1))
+    task()
+    assert one.held and not two.held and two.used == 0
