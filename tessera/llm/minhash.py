@@ -15,6 +15,7 @@ from .simhash import SEED, without
 WIDTH = 5  # words in a shingle
 BANDS, ROWS = 24, 5  # a pair of similarity s shares a bucket with a chance of 1 - (1 - s ** ROWS) ** BANDS; 0.99993 at 0.8
 TASK_SHINGLES = 2_000_000  # of a component that one task decides; larger ones are cut down by rounds first
+SKETCH = 16  # words of 64 bits
 SLICE = 2 << 20  # bytes of text that a worker takes at once
 SAMPLE, OFTEN = 10_000, 3  # shingles that so many of about so many documents have come last among the keys of a set; nothing else hangs on them
 _MULT, _ADD = (np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64) | np.array([[1], [0]], np.uint64))
@@ -60,6 +61,13 @@ def least_part(hashes: np.ndarray, often: np.ndarray) -> np.ndarray:
     return np.concatenate((hashes[~last][:n], hashes[last]))[:n]
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH words: each member of a set turns one bit over. Two sets' sketches differ in at most as many bits as there are
+    members that only one of them has, and those are a ninth of both sizes at most where the sets are alike."""
+    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
     """Whether sets of sizes a and b with so many common members have a similarity of 0.8 or more."""
     return 9 * common >= 4 * (a + b)
@@ -85,7 +93,7 @@ def repeats(sets: list[np.ndarray]) -> list[bool]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, key, n, buckets, rows) of each doc_id; of several texts the one that stays counts, which mark tells."""
+    """(doc_id, mark, key, n, sketch, buckets, rows) of each doc_id; of several texts the one that stays counts, which mark tells."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -94,11 +102,11 @@ def _signatures(docs: DataFrame) -> DataFrame:
         for b in slices(batches, "text", SLICE):
             sets = [shingles(t) for t in raw_texts(column(b, "text"))]
             keys, found = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [buckets(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id").cast(pa.int64()), column(b, "mark"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "n", "buckets"])
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id").cast(pa.int64()), column(b, "mark"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "n", "sketch", "buckets"])
 
     each = pick(docs, "doc_id", "text").where("doc_id is not null").withColumn("mark", F.xxhash64("text"))
-    each = each.mapInArrow(run, "doc_id long, mark long, key binary, n long, buckets array<long>")
-    return each.groupBy("doc_id").agg(F.min(F.struct("mark", "key", "n", "buckets")).alias("x"), F.count("*").alias("rows")).select("doc_id", "x.*", "rows")
+    each = each.mapInArrow(run, "doc_id long, mark long, key binary, n long, sketch array<long>, buckets array<long>")
+    return each.groupBy("doc_id").agg(F.min(F.struct("mark", "key", "n", "sketch", "buckets")).alias("x"), F.count("*").alias("rows")).select("doc_id", "x.*", "rows")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,6 +193,13 @@ def _doubtful(docs: DataFrame, back: DataFrame | None = None) -> DataFrame:
     return one.join(other, may).select(F.col("one.id").alias("id"), F.col("other.id").alias("least")).distinct()
 
 
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs(id, least) whose sketches(id, n, sketch) don't rule out that they are alike, so few texts meet."""
+    other = sketches.select(F.col("id").alias("least"), F.col("n").alias("m"), F.col("sketch").alias("against"))
+    apart = F.expr("aggregate(zip_with(sketch, against, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return pairs.join(sketches, "id").join(other, "least").where(9 * apart <= F.col("n") + F.col("m")).select("id", "least")
+
+
 def _alike_to_less(spark: SparkSession, docs: DataFrame, live: DataFrame, marks: DataFrame, task_shingles: int) -> tuple[DataFrame, DataFrame]:
     """(id): of marks(id, mark, n), those that are alike to a smaller one that stays and is a candidate by live(id, bucket);
     and (id, component) of all that have a candidate. Components are decided each for itself."""
@@ -230,7 +245,7 @@ def drop_similar(spark: SparkSession, docs: DataFrame, task_shingles: int = TASK
     each = materialise(spark, _signatures(docs), "shingles")
     reps = materialise(spark, each.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "shingle-keys")
     marked = join_hot(each.withColumnRenamed("n", "size"), reps, "key", each.count(), "inner").withColumnRenamed("size", "n").withColumn("copy", F.col("least") < F.col("doc_id"))
-    marked = materialise(spark, marked.select(F.col("doc_id").alias("id"), "mark", "n", "copy", F.when(~F.col("copy"), F.col("buckets")).alias("buckets")), "shingle-sets")
+    marked = materialise(spark, marked.select(F.col("doc_id").alias("id"), "mark", "n", "copy", *[F.when(~F.col("copy"), F.col(x)).alias(x) for x in ("sketch", "buckets")]), "shingle-sets")
     copies = marked.where("copy").select("id")
     marks = marked.where("not copy").select("id", "mark", "n")
     live = marked.where("not copy").select("id", F.explode("buckets").alias("bucket"))
@@ -241,7 +256,8 @@ def drop_similar(spark: SparkSession, docs: DataFrame, task_shingles: int = TASK
     gone, groups = _alike_to_less(spark, docs, live, marks, task_shingles)
     while True:
         kept = without(docs, copies.unionByName(gone), again)
-        missed = _compared(docs, materialise(spark, _doubtful(kept, back), "doubtful"), marks.select("id", "mark"))
+        doubtful = _near(_doubtful(kept, back), marked.where("not copy").select("id", "n", "sketch"))
+        missed = _compared(docs, materialise(spark, doubtful, "doubtful"), marks.select("id", "mark"))
         missed = materialise(spark, missed, "missed")
         if missed.isEmpty():
             return kept

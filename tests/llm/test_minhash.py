@@ -100,6 +100,8 @@ def test_sets_alike_share_a_key(seed):
         often = np.unique(rng.choice(np.concatenate((one, two)), int(rng.integers(0, len(one)))))
         if minhash.alike(len(np.intersect1d(one, two)), len(one), len(two)):
             assert len(np.intersect1d(minhash.least_part(one, often), minhash.least_part(two, often)))
+            apart = np.bitwise_count((minhash.sketch(one) ^ minhash.sketch(two)).view(np.uint64)).sum()
+            assert apart <= len(np.setxor1d(one, two)) and 9 * apart <= len(one) + len(two)
     assert len(minhash.least_part(np.zeros(0, np.uint64), often)) == 0
 
 
